@@ -2,7 +2,7 @@
 
 from itemspark.catalog.registry import ORACLES, QUERIES
 
-from itemspark.catalog import (aggregate, cells, joins, ordering, shape,  # noqa: F401
+from itemspark.catalog import (aggregate, calibration, cells, joins, ordering, shape,  # noqa: F401
                                lowrank, skill, statistic)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -127,3 +127,14 @@ def selection_positions(chosen: DataFrame) -> DataFrame:
     from itemspark.operators.ranks import positions
     order = [F.col("component"), F.col("pole"), F.col("item")]
     return positions(chosen, order, name="_p").withColumn("position", F.col("_p") - 1).drop("_p")
+
+
+def zero_filled(responses: DataFrame, items: DataFrame, takers: DataFrame) -> DataFrame:
+    """Every taker and item as a cell, missing answers as 0: long rows of the full matrix."""
+    blocks = dense_rows(responses, items, takers)
+    from itemspark.operators.ranks import positions
+    places = positions(takers.select("taker"), [F.col("taker")], name="place").select(
+        "taker", F.expr("(place - 1) div 1024").alias("block"),
+        ((F.col("place") - 1) % 1024).cast("int").alias("slot"))
+    cells = blocks.select("item", "block", F.posexplode("zero").alias("slot", "y"))
+    return cells.join(places, ["block", "slot"]).select("taker", "item", "y")
