@@ -29,12 +29,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the written copy."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table written by this application."""
+    return f"{_staging_root(spark)}/{uuid.uuid4().hex}-{name}"
 
 
-def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a table written by this job."""
-    return f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
+def _staging_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/itemspark/{spark.sparkContext.applicationId}"
+
+
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and continue from the written table.
+
+    A table (rather than an RDD checkpoint) is read back with its true size, so
+    the next join is planned on facts: small parameters are broadcast below
+    Spark's limit and shuffled above it.  It also survives lost executors.
+    """
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged_tables(spark: SparkSession) -> bool:
+    """Remove the tables this application staged; call it when all results are stored."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staging_root(spark))
+    return path.getFileSystem(hadoop).delete(path, True)
