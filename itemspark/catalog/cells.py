@@ -84,9 +84,9 @@ def null_predicates(spark, folder):
 
 @query("c8_large_scenarios", sql="""
     SELECT item, scenario FROM items WHERE scenario IN (
-        SELECT scenario FROM items GROUP BY scenario HAVING COUNT(*) >= 33)""")
+        SELECT scenario FROM items GROUP BY scenario HAVING COUNT(*) >= 330)""")
 def large_scenarios(spark, folder):
-    return (clean.keep_large_groups(inputs.study(spark, folder).items, 33)
+    return (clean.keep_large_groups(inputs.study(spark, folder).items, 330)
             .select("item", "scenario"))
 
 

@@ -87,11 +87,11 @@ def code_lookup(spark, folder):
 @query("e5_semi_join", sql="""
     SELECT taker, item, y FROM responses WHERE item IN (
         SELECT item FROM items WHERE scenario IN (
-            SELECT scenario FROM items GROUP BY scenario HAVING COUNT(*) >= 33))""")
+            SELECT scenario FROM items GROUP BY scenario HAVING COUNT(*) >= 330))""")
 def semi(spark, folder):
     s = inputs.study(spark, folder)
     from itemspark.operators.clean import keep_large_groups
-    return s.responses.join(keep_large_groups(s.items, 33).select("item"), "item", "left_semi")
+    return s.responses.join(keep_large_groups(s.items, 330).select("item"), "item", "left_semi")
 
 
 @query("e6_anti_join", sql="""

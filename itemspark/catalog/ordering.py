@@ -156,7 +156,7 @@ def sorted_rates(spark, folder):
 
 
 @query("i1_undersample", extra="""
-    kept AS (SELECT scenario, COUNT(*) AS c FROM items GROUP BY scenario HAVING COUNT(*) >= 33),
+    kept AS (SELECT scenario, COUNT(*) AS c FROM items GROUP BY scenario HAVING COUNT(*) >= 330),
     ranked AS (SELECT i.*, ROW_NUMBER() OVER (PARTITION BY scenario
                   ORDER BY MD5(CONCAT(item, '|42')), item) AS place FROM items i
                WHERE scenario IN (SELECT scenario FROM kept)),
@@ -165,7 +165,7 @@ def sorted_rates(spark, folder):
     SELECT r.taker, r.item, r.y, c.scenario FROM responses r JOIN chosen c ON c.item = r.item""")
 def undersample(spark, folder):
     s = inputs.study(spark, folder)
-    cells, chosen, _ = sample.undersample(s.responses, s.items, s.takers, 33)
+    cells, chosen, _ = sample.undersample(s.responses, s.items, s.takers, 330)
     return cells.join(chosen.select("item", "scenario"), "item")
 
 

@@ -14,22 +14,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.operators.moments import collect_matrix, column_labels, dense_gram
+from itemspark.operators.moments import collect_matrix, dense_gram
 from itemspark.operators.stats import correlations
 from itemspark.operators.vectors import dims, rotate
 
 
 def correlation_matrix(cells: DataFrame, row: str, column: str, value: str
                        ) -> tuple[list, np.ndarray, int]:
-    """Labels, matrix (undefined correlations as 0, diagonal 1) and row count."""
-    labels, _ = column_labels(cells, column)
+    """Labels, matrix (undefined correlations as 0, diagonal 1) and row count.  The
+    column count was checked when the sums were built."""
+    pairs = correlations(cells, row, column, value).collect()
+    labels = sorted({p["v1"] for p in pairs})
     index = {x: i for i, x in enumerate(labels)}
     r = np.eye(len(labels))
-    for v1, v2, value_ in correlations(cells, row, column, value).select("v1", "v2", "r").collect():
-        if v1 != v2:
-            r[index[v1], index[v2]] = value_ or 0.0
-    n = cells.select(row).distinct().count()
-    return labels, (r + r.T) / 2, n
+    for p in pairs:
+        if p["v1"] != p["v2"]:
+            r[index[p["v1"]], index[p["v2"]]] = p["r"] or 0.0
+    return labels, (r + r.T) / 2, max((p["n"] for p in pairs), default=0)
 
 
 def eigenvalue_rows(spark: SparkSession, matrix: np.ndarray) -> DataFrame:

@@ -133,7 +133,8 @@ def pair_sums(packed: DataFrame, width: int, step: int = 1_000_000) -> DataFrame
 
 def pair_table(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
     """Long table of the sums: v1, v2, n, sx, sy, sxx, syy, sxy (values shifted by
-    the column mean, which leaves covariances unchanged and keeps them accurate)."""
+    the column mean, which leaves covariances unchanged and keeps them accurate).
+    ``cells`` is read twice, so pass a stored table."""
     labels, shifts = column_labels(cells, column, value)
     sums = pair_sums(pack(cells, row, column, value, labels, shifts), len(labels))
     kind = cells.schema[column].dataType.simpleString()

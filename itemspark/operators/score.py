@@ -84,8 +84,9 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_share(counts: DataFrame, n: str = "n", groups: list[str] | None = None) -> DataFrame:
-    """Add each count's percentage of its group total (a table of labels, so small)."""
-    total = F.sum(n).over(Window.partitionBy(*(groups or [F.lit(0)])))
+    """Add each count's percentage of the total, or of its group's total."""
+    total = (F.sum(n).over(Window.partitionBy(*groups)) if groups
+             else counts.agg(F.sum(n)).scalar())
     return counts.withColumn("percent", F.col(n) / total * 100)
 
 

@@ -6,6 +6,9 @@ So two items can only pass ``t`` when their log-odds differ (or add up) to less
 than ``-2 ln t``.  Items are put into log-odds classes of that width and compared
 with the neighbouring and mirrored classes only, block against block; a large
 class is just more blocks.  The bound loses no pair.
+
+Overlaps are counted per slice of takers.  With one slice a pair of blocks is
+finished in its task; with more takers the slices' counts are added per pair.
 """
 
 from __future__ import annotations
@@ -17,65 +20,94 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemspark.operators.moments import column_labels, pack
 from itemspark.operators.ranks import positions
 from itemspark.session import cut_lineage
 
 
 def correlated_pairs(responses: DataFrame, takers: DataFrame, threshold: float,
-                     block: int = 1024) -> DataFrame:
+                     block: int = 1024, width: int = 4096) -> DataFrame:
     """Pairs v1 < v2 of items with absolute correlation above ``threshold``, missing
-    answers counting as 0.  Constant items have no correlation and no pair."""
-    labels, _ = column_labels(takers, "taker")
-    n = len(labels)
-    width = -2.0 * math.log(threshold)
-    right = responses.filter("y = 1").select("taker", "item", "y")
-    vectors = pack(right, "item", "taker", "y", labels).select("item", "at", F.size("at").alias("a"))
-    varied = vectors.filter(F.col("a") < n)
-    log_odds = F.log(F.col("a") / (n - F.col("a")))
-    classed = varied.withColumn("class", F.floor(log_odds / width).cast("int"))
-    # one checkpointed numbering; blocks are cut from it
-    numbered = positions(classed, [F.col("item")], ["class"])
-    blocks = cut_lineage(
-        numbered.withColumn("block", ((F.col("position") - 1) / block).cast("int"))
-        .groupBy("class", "block")
-        .agg(F.collect_list(F.struct("item", "at")).alias("rows")))
+    answers counting as 0.  Constant items have no correlation and no pair.
+    ``width`` takers form a slice."""
+    n = takers.count()
+    n_slices = -(-n // width)
+    reach_width = -2.0 * math.log(threshold)
+    right = responses.filter("y = 1").select("taker", "item")
+    sums = right.groupBy("item").agg(F.count(F.lit(1)).alias("a")).filter(F.col("a") < n)
+    classed = sums.withColumn("class", F.floor(F.log(F.col("a") / (n - F.col("a"))) / reach_width).cast("int"))
+    placed = positions(classed, [F.col("item")], ["class"])
+    placed = cut_lineage(placed.select("item", "a", "class",
+                                       ((F.col("position") - 1) / block).cast("int").alias("block")))
+    numbered = positions(takers.select("taker"), [F.col("taker")], name="place").select(
+        "taker", ((F.col("place") - 1) / width).cast("int").alias("slice"),
+        ((F.col("place") - 1) % width).cast("int").alias("at"))
+    vectors = (right.join(numbered, "taker").groupBy("item", "slice")
+               .agg(F.collect_list("at").alias("at")))               # at most `width` entries
+    # every item has an entry in every slice: two items may never be right together
+    slots = placed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
+    empty = F.array().cast("array<int>")
+    payload = cut_lineage(
+        slots.join(vectors, ["item", "slice"], "left").withColumn("at", F.coalesce("at", empty))
+        .groupBy("class", "block", "slice")
+        .agg(F.collect_list(F.struct("item", "a", "at")).alias("rows")))   # at most `block` items
 
     # which blocks meet: headers only, the payload is joined afterwards
-    heads = blocks.select("class", "block")
+    heads = payload.select("class", "block", "slice").distinct()
     c = F.col("class")
     reach = F.array_distinct(F.array(c - 1, c, c + 1, -c - 2, -c - 1, -c))
     counts = heads.groupBy(F.col("class").alias("class2")).agg(F.max("block").alias("last"))
     meets = (heads.withColumn("class2", F.explode(reach)).join(counts, "class2")
              .withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("last"))))
              .filter("class2 > class OR (class2 = class AND block2 >= block)"))
-    second = blocks.select(F.col("class").alias("class2"), F.col("block").alias("block2"),
-                           F.col("rows").alias("rows2"))
-    work = (meets.join(blocks, ["class", "block"]).join(second, ["class2", "block2"])
-            .select("rows", "rows2"))
+    second = payload.select(F.col("class").alias("class2"), F.col("block").alias("block2"), "slice",
+                            F.col("rows").alias("rows2"))
+    work = (meets.join(payload, ["class", "block", "slice"])
+            .join(second, ["class2", "block2", "slice"]).select("rows", "rows2"))
 
     def matrix(entries):
-        x = np.zeros((len(entries), n), dtype=np.float32)     # exact: counts below 2**24
-        for k, e in enumerate(entries):
+        x = np.zeros((len(entries), width if n_slices > 1 else n), dtype=np.float32)
+        for k, e in enumerate(entries):                              # exact: counts below 2**24
             x[k, e["at"]] = 1.0
-        return np.array([e["item"] for e in entries], dtype=np.int64), x
+        return (np.array([e["item"] for e in entries], dtype=np.int64),
+                np.array([e["a"] for e in entries], dtype=np.float64), x)
+
+    def correlation(together, a, b):
+        return (n * together - a * b) / np.sqrt(a * (n - a) * b * (n - b))
 
-    def compare(frames):
+    def finished(frames):
         for frame in frames:
             for rows, rows2 in zip(frame["rows"], frame["rows2"]):
-                (i1, x1), (i2, x2) = matrix(rows), matrix(rows2)
-                together = (x1 @ x2.T).astype(np.float64)
-                a, b = x1.sum(1, dtype=np.float64)[:, None], x2.sum(1, dtype=np.float64)[None, :]
-                r = (n * together - a * b) / np.sqrt(a * (n - a) * b * (n - b))
-                hit = np.abs(r) > threshold
-                hit &= i1[:, None] != i2[None, :]
-                if i1[0] == i2[0]:                            # the block with itself
+                (i1, a, x1), (i2, b, x2) = matrix(rows), matrix(rows2)
+                r = correlation((x1 @ x2.T).astype(np.float64), a[:, None], b[None, :])
+                hit = (np.abs(r) > threshold) & (i1[:, None] != i2[None, :])
+                if i1[0] in i2:                                      # the block with itself
                     hit &= i1[:, None] < i2[None, :]
                 p, q = np.nonzero(hit)
+                yield pd.DataFrame({"v1": np.minimum(i1[p], i2[q]), "v2": np.maximum(i1[p], i2[q]),
+                                    "r": r[p, q]})
+
+    if n_slices == 1:
+        return work.mapInPandas(finished, "v1 bigint, v2 bigint, r double")
+
+    def overlaps(frames):
+        for frame in frames:
+            for rows, rows2 in zip(frame["rows"], frame["rows2"]):
+                (i1, a, x1), (i2, b, x2) = matrix(rows), matrix(rows2)
+                together = (x1 @ x2.T).astype(np.int64)
+                apart = correlation(0.0, a[:, None], b[None, :]) < -threshold
+                hit = ((together > 0) | apart) & (i1[:, None] != i2[None, :])
+                p, q = np.nonzero(hit)
                 low, high = np.minimum(i1[p], i2[q]), np.maximum(i1[p], i2[q])
-                yield pd.DataFrame({"v1": low, "v2": high, "r": r[p, q]})
+                part = pd.DataFrame({"v1": low, "v2": high, "s": together[p, q]})
+                yield part.drop_duplicates(["v1", "v2"])             # a block with itself gives both
 
-    return work.mapInPandas(compare, "v1 bigint, v2 bigint, r double")
+    shared = (work.mapInPandas(overlaps, "v1 bigint, v2 bigint, s bigint")
+              .groupBy("v1", "v2").agg(F.sum("s").cast("double").alias("s")))
+    both = (shared.join(placed.select(F.col("item").alias("v1"), F.col("a").cast("double").alias("a")), "v1")
+            .join(placed.select(F.col("item").alias("v2"), F.col("a").cast("double").alias("b")), "v2"))
+    a, b = F.col("a"), F.col("b")
+    r = (n * F.col("s") - a * b) / F.sqrt(a * (n - a) * b * (n - b))
+    return both.withColumn("r", r).filter(F.abs("r") > threshold).select("v1", "v2", "r")
 
 
 def drop_correlated(items: DataFrame, pairs: DataFrame) -> DataFrame:

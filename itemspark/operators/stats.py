@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from itemspark.functions.scalars import log_likelihood
 from itemspark.operators.moments import pair_table
 from itemspark.operators.ranks import average_ranks
+from itemspark.session import cut_lineage
 
 
 def _safe_ratio(top, bottom):
@@ -20,10 +21,11 @@ def correlations(cells: DataFrame, row: str, column: str, value: str,
 
     ``spearman`` ranks each column over its own rows, ties sharing the mean rank.
     """
+    cells = cells.select(row, column, value)
     if method == "spearman":
-        cells = average_ranks(cells.select(row, column, value), value, [column], "_rank")
+        cells = average_ranks(cells, value, [column], "_rank")
         value = "_rank"
-    table = pair_table(cells, row, column, value)
+    table = pair_table(cut_lineage(cells), row, column, value)
     n = F.col("n")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
@@ -35,7 +37,7 @@ def correlations(cells: DataFrame, row: str, column: str, value: str,
 
 
 def covariances(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    table = pair_table(cells, row, column, value)
+    table = pair_table(cut_lineage(cells.select(row, column, value)), row, column, value)
     n = F.col("n")
     return table.select("v1", "v2", _safe_ratio(
         F.col("sxy") - F.col("sx") * F.col("sy") / n, n - 1).alias("cov"))

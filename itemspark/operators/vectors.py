@@ -93,15 +93,24 @@ def rotate(vectors: DataFrame, key: str, names: list[str], matrix: np.ndarray,
         for d in range(matrix.shape[1])])
 
 
-def _by_iteration(responses, items, takers, k, rounds=30, extra=8, tolerance=1e-9):
+def _by_iteration(responses, items, takers, k, rounds=30, extra=8, tolerance=1e-9, centred=False):
     """Subspace iteration for a matrix that is large on both sides: every round is two
-    joins and two sums; only k x k matrices reach the driver."""
+    joins and two sums; only k x k matrices reach the driver.
+
+    ``centred`` works on item columns minus their means without building them: that
+    takes the column means off the taker side, and a taker side without mean
+    gives the same item sums for both matrices.
+    """
     m = k + extra
     right = cut_lineage(items.select("item", *[
         hash_normal(["item"], f"start-{d}").alias(c) for d, c in enumerate(dims("f", m))]))
     previous = None
     for _ in range(rounds):
         left = cut_lineage(project_takers(responses, right, takers, "f", m))
+        if centred:
+            means = left.agg(*[F.avg(c) for c in dims("u", m)]).first()
+            left = left.select("taker", *[(F.col(c) - F.lit(v)).alias(c)
+                                          for c, v in zip(dims("u", m), means)])
         left = cut_lineage(_orthonormal(left, "taker", "u", m))
         right = cut_lineage(project_items(responses, left, items, "u", m))
         inner = collect_matrix(dense_gram(right.select(F.array(*dims("f", m)).alias("v")), m), m)
@@ -121,7 +130,7 @@ def truncated_svd(responses: DataFrame, items: DataFrame, takers: DataFrame, k:
     Up to ``gram_limit`` takers the small side's Gram matrix is solved exactly;
     beyond that the same factors come from subspace iteration.
     """
-    if takers.limit(gram_limit + 1).count() > gram_limit:
+    if above(takers, gram_limit):
         values, item_vectors, taker_vectors = _by_iteration(responses, items, takers, k)
     else:
         labels, g = taker_gram(responses, takers)
@@ -174,15 +183,27 @@ def long_vectors(vectors: DataFrame, key: str, prefix: str, k: int, value: str)
     return vectors.select(key, F.posexplode(entries).alias("factor", value))
 
 
-def item_components(responses: DataFrame, items: DataFrame, takers: DataFrame, k: int
-                    ) -> tuple[DataFrame, np.ndarray]:
+def above(table: DataFrame, limit: int) -> bool:
+    """Whether the table has more rows than ``limit``, without counting them all."""
+    return table.limit(limit + 1).count() > limit
+
+
+def item_components(responses: DataFrame, items: DataFrame, takers: DataFrame, k: int,
+                    gram_limit: int = MAX_COLUMNS) -> tuple[DataFrame, np.ndarray]:
     """Principal components with items as variables: unscaled loadings ``f1..fk`` and
     explained-variance ratios.
 
     Centring the items equals centring the taker Gram matrix on both sides, and
     the centred vectors are orthogonal to the constant, so the dense centred
-    matrix is never built.
+    matrix is never built.  More takers than ``gram_limit`` go through iteration.
     """
+    if above(takers, gram_limit):
+        values, loadings, _ = _by_iteration(responses, items, takers, k, centred=True)
+        loadings, _ = fix_signs(cut_lineage(loadings), "item", "f", k)
+        n = takers.agg(F.count(F.lit(1))).scalar()
+        right = right_cells(responses).groupBy("item").agg(F.count(F.lit(1)).cast("double").alias("s"))
+        total = right.agg(F.sum(F.col("s") - F.col("s") * F.col("s") / n)).first()[0]
+        return loadings, values ** 2 / total
     labels, g = taker_gram(responses, takers)
     centre = np.eye(len(labels)) - 1.0 / len(labels)
     centred = centre @ g @ centre

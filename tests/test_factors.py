@@ -52,6 +52,13 @@ def test_item_components_match_centred_svd(cells, items, takers):
     assert np.allclose(matrix(loadings, "item", "f", 3), signed(v[:3].T), atol=1e-8)
 
 
+def test_item_components_by_iteration(cells, items, takers):
+    exact, ratios = vectors.item_components(cells[1], items, takers, 2)
+    got, shares = vectors.item_components(cells[1], items, takers, 2, gram_limit=10)
+    assert np.allclose(ratios, shares, rtol=1e-5)
+    assert np.allclose(matrix(exact, "item", "f", 2), matrix(got, "item", "f", 2), atol=1e-3)
+
+
 def test_rank_sweep_is_a_running_sum(spark, cells, items, takers):
     values, iv, tv = vectors.truncated_svd(cells[1], items, takers, 4)
     people = vectors.scaled(tv, values)

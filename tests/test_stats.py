@@ -86,8 +86,8 @@ def test_fit_indices(spark):
     assert got.BIC == pytest.approx(k * math.log(3) - 2 * ll)
 
 
-@pytest.mark.parametrize("threshold", [0.95, 0.6, 0.3])
-def test_correlated_pairs_match_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold,width", [(0.95, 4096), (0.6, 4096), (0.3, 4096), (0.6, 16)])
+def test_correlated_pairs_match_brute_force(spark, threshold, width):
     rng = np.random.default_rng(8)
     n, m = 60, 90
     x = (rng.random((n, m)) < rng.uniform(0.02, 0.98, m)).astype(int)
@@ -95,16 +95,17 @@ def test_correlated_pairs_match_brute_force(spark, threshold):
     x[:, 20] = 1 - x[:, 4]                                      # reversed
     x[:, 30:60] = np.where(rng.random((n, 30)) < 0.03, 1 - x[:, [5]], x[:, [5]])   # a hot class
     x[:, 70], x[:, 71] = 0, 1                                   # constant
+    x[:, 80], x[:, 81] = np.arange(n) < 32, np.arange(n) >= 32  # never right together
     taker, item = np.nonzero(np.ones_like(x))
     responses = spark.createDataFrame(pd.DataFrame({"taker": taker, "item": item, "y": x[taker, item]}),
                                       "taker bigint, item bigint, y tinyint")
     people = spark.range(n).toDF("taker")
-    got = {(r.v1, r.v2): r.r for r in similar.correlated_pairs(responses, people, threshold, block=7).collect()}
+    got = {(r.v1, r.v2): r.r for r in similar.correlated_pairs(responses, people, threshold, 7, width).collect()}
     with np.errstate(invalid="ignore", divide="ignore"):
         r = np.corrcoef(x, rowvar=False)
     want = {(i, j): r[i, j] for i in range(m) for j in range(i + 1, m) if abs(r[i, j]) > threshold}
-    assert set(got) == set(want) and (3, 10) in got and got[(4, 20)] == pytest.approx(-1)
+    assert set(got) == set(want) and (3, 10) in got and (80, 81) in got and got[(4, 20)] == pytest.approx(-1)
     assert all(got[k] == pytest.approx(want[k]) for k in want)
     flags = similar.drop_correlated(spark.range(m).toDF("item"), similar.correlated_pairs(
-        responses, people, threshold, block=7))
+        responses, people, threshold, 7, width))
     assert {r.item for r in flags.filter("dropped").collect()} == {j for _, j in want}
