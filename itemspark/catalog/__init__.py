@@ -3,6 +3,6 @@
 from itemspark.catalog.registry import ORACLES, QUERIES
 
 from itemspark.catalog import (aggregate, calibration, cells, joins, ordering, shape,  # noqa: F401
-                               flows, lowrank, scan, skill, statistic)
+                               flows, lowrank, scalar, scan, skill, statistic)
 
 __all__ = ["ORACLES", "QUERIES"]

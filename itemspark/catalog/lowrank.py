@@ -119,10 +119,9 @@ def communalities(spark, folder):
     FROM (SELECT (SELECT COUNT(*) FROM loadings WHERE ABS(loading) > 0.2e0) / POW(COUNT(*), 2) AS a,
                  SUM(v / m) AS h, SUM(v / m) / COUNT(*) AS v FROM ss)""")
 def interpretability(spark, folder):
-    loadings = inputs.loadings(spark, folder).withColumn("solution", F.lit(1))
-    table = factors.factor_variance(loadings).agg(
-        F.lit(1).alias("solution"), F.avg("proportion").alias("variance"))
-    return factors.interpretability(loadings, table, ["solution"]).select(
+    loadings = inputs.loadings(spark, folder)
+    table = factors.factor_variance(loadings).agg(F.avg("proportion").alias("variance"))
+    return factors.interpretability(loadings, table, []).select(
         *[fixed(F.col(c)).alias(c) for c in ("simple_structure", "mean_communality", "variance", "score")])
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.operators.moments import collect_matrix, dense_gram
+from itemspark.operators.moments import collect_matrix, dense_gram, grouped_gram
 from itemspark.operators.stats import correlations
 from itemspark.operators.vectors import dims, rotate
 
@@ -117,24 +117,39 @@ def varimax_matrix(loadings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def varimax(loadings: DataFrame, key: str, prefix: str, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Varimax with row normalisation for any number of rows: one pass adds up the
-    products of all pairs of dimensions, the iterations run on those sums."""
+    """Varimax with row normalisation for any number of rows."""
     if k < 2:
         return loadings, np.eye(k)
+    r = varimax_turns(loadings.withColumn("_part", F.lit(k)), "_part", prefix, k)[k]
+    return rotate(loadings, key, dims(prefix, k), r, prefix), r
+
+
+def varimax_turns(loadings: DataFrame, part: str, prefix: str, k: int) -> dict[int, np.ndarray]:
+    """Varimax rotation of every solution in one table: ``part`` is a solution's number
+    of dimensions, its further columns are 0.
+
+    One pass adds up the products of all pairs of dimensions (all fourth-order
+    sums); the iterations run on those sums.
+    """
     names = dims(prefix, k)
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
+    width = len(pairs) + 1
     size = sum((F.col(c) * F.col(c) for c in names), F.lit(0.0))
     weight = F.when(size > 0, 1.0 / size).otherwise(0.0)
     products = [F.col(names[a]) * F.col(names[b]) * weight for a, b in pairs]
-    rows = loadings.select(F.array(*products, F.lit(1.0)).alias("v"))
-    g = collect_matrix(dense_gram(rows, len(pairs) + 1), len(pairs) + 1)
+    rows = loadings.select(F.col(part).alias("part"), F.array(*products, F.lit(1.0)).alias("v"))
+    sums: dict[int, np.ndarray] = {}
+    for p, i, g in grouped_gram(rows, width).select("part", "i", "g").collect():
+        sums.setdefault(p, np.zeros((width, width)))[i] = g
     at = np.zeros((k, k), dtype=int)
     for p, (a, b) in enumerate(pairs):
         at[a, b] = at[b, a] = p
-    fourth = g[:-1, :-1][at.ravel()][:, at.ravel()].reshape(k, k, k, k)
-    second = g[:-1, -1][at.ravel()].reshape(k, k)
-    r = _varimax_rotation(fourth, second, int(g[-1, -1]))
-    return rotate(loadings, key, names, r, prefix), r
+    turns = {}
+    for d, g in sums.items():
+        own = at[:d, :d].ravel()
+        fourth = g[:-1, :-1][own][:, own].reshape(d, d, d, d)
+        turns[d] = _varimax_rotation(fourth, g[:-1, -1][own].reshape(d, d), int(g[-1, -1]))
+    return turns
 
 
 def promax_matrix(loadings: np.ndarray, power: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +278,9 @@ def interpretability(loadings: DataFrame, variance: DataFrame, groups: list[str]
     table = per_factor.groupBy(*groups).agg(
         (F.avg("strong") / F.count(F.lit(1))).alias("simple_structure"),
         (F.sum("ss") / F.max("n")).alias("mean_communality"))
-    return table.join(variance, groups).withColumn(
+    table = (table.join(variance, groups) if groups
+             else table.withColumn("variance", variance.select("variance").scalar()))
+    return table.withColumn(
         "score", F.col("simple_structure") * 0.4 + F.col("mean_communality") * 0.3
         + F.col("variance") * 0.3)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from itemspark.functions.scalars import dot, hash_normal, hash_uniform, log_likelihood, sigmoid
 from itemspark.operators import stats
-from itemspark.operators.factors import varimax
+from itemspark.operators.factors import varimax_turns
 from itemspark.operators.moments import collect_matrix, dense_gram
 from itemspark.operators.vectors import dims
 from itemspark.session import cut_lineage
@@ -222,16 +222,21 @@ def fit_nuisance(train: DataFrame, takers: DataFrame, masks: DataFrame, k: int,
     return model
 
 
-def rotate_items(model: Model, number: int) -> DataFrame:
-    """Varimax of one model's discriminations (its first ``number`` dimensions), then
-    clamped at 0."""
-    own = model.items.filter(F.col("model") == number)
-    names = dims("a", number)
-    turned, _ = varimax(own.select("item", *names), "item", "a", number)
-    clamped = [F.greatest(F.lit(0.0), F.col(c)).alias(c) for c in names]
-    rest = [F.lit(0.0).alias(c) for c in dims("a", model.k)[number:]]
-    return (own.drop(*dims("a", model.k)).join(turned.select("item", *clamped, *rest), "item")
-            .select(*model.items.columns))
+def rotate_items(model: Model) -> DataFrame:
+    """Varimax of every model's discriminations (model number = its dimensions), then
+    clamped at 0; the sums for all models come from one pass."""
+    k = model.k
+    turned = None
+    for number, turn in sorted(varimax_turns(model.items, "model", "a", k).items()):
+        full = np.zeros((k, k))
+        full[:number, :number] = turn
+        columns = [F.col(c) for c in dims("a", k)]
+        a = [F.greatest(F.lit(0.0), dot(columns, [F.lit(float(w)) for w in full[:, d]])).alias(c)
+             for d, c in enumerate(dims("a", k))]
+        part = model.items.filter(F.col("model") == number).select(
+            "model", "item", *dims("q", k), *a, "d")
+        turned = part if turned is None else turned.unionByName(part)
+    return turned
 
 
 def fit_exploratory(train: DataFrame, items: DataFrame, takers: DataFrame, sizes: list[int],
@@ -240,11 +245,7 @@ def fit_exploratory(train: DataFrame, items: DataFrame, takers: DataFrame, sizes
     varimax per size, then the abilities again for the rotated items."""
     k = max(sizes)
     model = fit_joint(train, takers, free_masks(items, k, sizes), k, rounds, 0.0, 0.0, seed)
-    turned = None
-    for number in sizes:
-        part = rotate_items(model, number)
-        turned = part if turned is None else turned.unionByName(part)
-    model = Model(cut_lineage(turned), model.takers, k)
+    model = Model(cut_lineage(rotate_items(model)), model.takers, k)
     for _ in range(final_rounds):
         model = taker_step(train, model, 0.0)
     return model

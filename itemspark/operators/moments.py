@@ -105,14 +105,30 @@ def gram(packed: DataFrame, width: int, step: int = 2_000_000) -> DataFrame:
 
 def dense_gram(vectors: DataFrame, width: int) -> DataFrame:
     """Rows of V'V for a dense array column ``v`` of ``width`` values."""
+    return grouped_gram(vectors.select(F.lit(0).alias("part"), "v"), width).drop("part")
+
+
+def grouped_gram(vectors: DataFrame, width: int) -> DataFrame:
+    """Rows of V'V per small integer ``part``: part, i, g.  Each task keeps one matrix
+    per part it meets."""
     def partial(batches):
-        total = np.zeros((width, width))
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            if len(batch):
-                x = batch.column(0).flatten().to_numpy().reshape(-1, width)
-                total += x.T @ x
-        yield from _matrix_rows(["g"], [total], width)
-    return _added(vectors.select("v").mapInArrow(partial, _schema(["g"])), ["g"])
+            if not len(batch):
+                continue
+            parts = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy().reshape(-1, width)
+            for part in np.unique(parts):
+                own = x[parts == part]
+                totals[int(part)] = totals.get(int(part), 0.0) + own.T @ own
+        for part, total in totals.items():
+            for rows in _matrix_rows(["g"], [total], width):
+                shifted = pa.array(rows.column(0).to_numpy() + np.int32(part * width), pa.int32())
+                yield pa.RecordBatch.from_arrays([shifted, rows.column(1)], names=["i", "g"])
+    table = vectors.select(F.col("part").cast("int").alias("part"), "v")
+    summed = _added(table.mapInArrow(partial, _schema(["g"])), ["g"])
+    return summed.select(F.expr(f"i div {width}").cast("int").alias("part"),
+                         (F.col("i") % width).alias("i"), "g")
 
 
 def pair_sums(packed: DataFrame, width: int, step: int = 1_000_000) -> DataFrame:
