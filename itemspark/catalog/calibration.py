@@ -6,7 +6,7 @@ from itemspark.catalog import inputs
 from itemspark.catalog.lowrank import svd
 from itemspark.catalog.registry import query
 from itemspark.functions.scalars import fixed, sigmoid
-from itemspark.operators import irt, qmatrix, reshape, sample, stats, vectors
+from itemspark.operators import irt, moments, qmatrix, reshape, sample, stats, vectors
 from itemspark.session import cut_lineage
 
 
@@ -143,20 +143,77 @@ def epoch_history(spark, folder):
     return penalised(spark, folder)[1][1]
 
 
-@query("k8_full_probabilities", sql="""
-    SELECT s.taker, i.item, round(1 / (1 + EXP(-(s.p * q.a - q.d))), 6) + 0.0 AS p
-    FROM items i JOIN params q ON q.item = i.item JOIN scores s ON s.scenario = i.scenario""")
-def full_probabilities(spark, folder):
-    """Scenario scores as abilities and part attributes as item parameters, all cells."""
+def score_model(spark, folder):
+    """Scenario scores as abilities, part attributes as item parameters; one dimension
+    per scenario, each item on its own."""
     s = inputs.study(spark, folder)
     names = reshape.label_list(s.items, "scenario")
     k = len(names)
     wide = inputs.scores(spark, folder).groupBy("taker").agg(*[
         F.max(F.when(F.col("scenario") == n, F.col("p"))).alias(c) for n, c in zip(names, vectors.dims("t", k))])
+    own = [F.col("scenario") == n for n in names]
     items = s.items.join(inputs.parameters(spark, folder), "item").select(
-        "item", *[F.when(F.col("scenario") == n, F.col("a")).otherwise(0.0).alias(c)
-                  for n, c in zip(names, vectors.dims("a", k))], "d")
-    return irt.full_grid(irt.Model(items, wide, k)).withColumn("p", fixed(F.col("p")))
+        F.lit(k).alias("model"), "item",
+        *[o.cast("double").alias(c) for o, c in zip(own, vectors.dims("q", k))],
+        *[F.when(o, F.col("a")).otherwise(0.0).alias(c) for o, c in zip(own, vectors.dims("a", k))], "d")
+    return s, names, irt.Model(items, wide.select(F.lit(k).alias("model"), "*"), k)
+
+
+STEP_SQL = """
+    train AS (SELECT c.taker, c.item, c.y, i.scenario, s.p, q.a, q.d,
+                     c.y - 1 / (1 + EXP(-(s.p * q.a - q.d))) AS gap
+              FROM split c JOIN items i ON i.item = c.item JOIN params q ON q.item = c.item
+              JOIN scores s ON s.taker = c.taker AND s.scenario = i.scenario WHERE split = 'train'),
+    item_sums AS (SELECT item, SUM(gap * p) AS ga, SUM(p * (1 + p) / 4) AS ha, SUM(gap) AS gd,
+                         SUM((1 + p) / 4) AS hd FROM train GROUP BY item),
+    taker_sums AS (SELECT taker, scenario, SUM(gap * a) AS g, SUM(a * (1 + a) / 4) AS h
+                   FROM train GROUP BY taker, scenario)"""
+
+
+@query("k2_item_step", extra=STEP_SQL, sql="""
+    SELECT q.item, round(GREATEST(1e-6, a + (COALESCE(ga, 0) + 0.1 * (1 - a)) / (COALESCE(ha, 0) + 0.1)), 6) + 0.0 AS a,
+           round(d - (COALESCE(gd, 0) + 0.1 * d) / (COALESCE(hd, 0) + 0.1), 6) + 0.0 AS d
+    FROM params q LEFT JOIN item_sums s ON s.item = q.item""")
+def item_step(spark, folder):
+    """One step of the alternating fit: all item parameters, abilities fixed."""
+    _, _, train = split_study(spark, folder)
+    _, _, model = score_model(spark, folder)
+    moved = irt.item_step(train, model).items
+    total = sum((F.col(c) for c in vectors.dims("a", model.k)), F.lit(0.0))     # one is not 0
+    return moved.select("item", fixed(total).alias("a"), fixed(F.col("d")).alias("d"))
+
+
+@query("k2_taker_step", extra=STEP_SQL, sql="""
+    SELECT s.taker, s.scenario AS component,
+           round(GREATEST(0, p + (COALESCE(g, 0) - p) / (COALESCE(h, 0) + 1)), 6) + 0.0 AS theta
+    FROM scores s LEFT JOIN taker_sums t ON t.taker = s.taker AND t.scenario = s.scenario""")
+def taker_step(spark, folder):
+    """The other step: all abilities, items fixed; a dimension sees its own items only.
+    The curvature of a dimension also counts takers' cells elsewhere, with weight 0."""
+    _, _, train = split_study(spark, folder)
+    _, names, model = score_model(spark, folder)
+    return irt.theta_table(irt.taker_step(train, model), names).withColumn("theta", fixed(F.col("theta")))
+
+
+@query("k9_cross_products", sql="""
+    SELECT x.factor AS i, z.factor AS j, round(SUM(x.loading * z.loading), 4) + 0.0 AS g
+    FROM loadings x JOIN loadings z ON z.item = x.item GROUP BY x.factor, z.factor""")
+def cross_products(spark, folder):
+    """The matrix that the regression solves."""
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").select(
+        F.col("embedding").cast("array<double>").alias("v"))
+    width = table.agg(F.max(F.size("v"))).first()[0]
+    return (moments.dense_gram(table, width).select("i", F.posexplode("g").alias("j", "g"))
+            .withColumn("g", fixed(F.col("g"), 4)))
+
+
+@query("k8_full_probabilities", sql="""
+    SELECT s.taker, i.item, round(1 / (1 + EXP(-(s.p * q.a - q.d))), 6) + 0.0 AS p
+    FROM items i JOIN params q ON q.item = i.item JOIN scores s ON s.scenario = i.scenario""")
+def full_probabilities(spark, folder):
+    """Scenario scores as abilities and part attributes as item parameters, all cells."""
+    _, _, model = score_model(spark, folder)
+    return irt.full_grid(model).withColumn("p", fixed(F.col("p")))
 
 
 @query("k9_text_regression_evaluation")

@@ -98,6 +98,13 @@ def elbow(spark, folder):
     return choose.scree_elbow(scree(spark, folder))
 
 
+@query("j9_large_variances", extra=VARIANCE_SQL, sql="""
+    SELECT COUNT(*) FILTER (WHERE value > 1) AS above_one, COUNT(*) FILTER (WHERE value > 0) AS positive,
+           round(SUM(value) FILTER (WHERE i < 10), 6) + 0.0 AS first_sum FROM scree""")
+def large_variances(spark, folder):
+    return factors.kaiser_summary(scree(spark, folder)).withColumn("first_sum", fixed(F.col("first_sum")))
+
+
 @query("j13_factor_variance", extra=VARIANCE_SQL, sql="""
     SELECT factor, round(v, 6) + 0.0 AS ss_loading, round(v / m, 6) + 0.0 AS proportion,
            round(SUM(v / m) OVER (ORDER BY factor), 6) + 0.0 AS cumulative FROM ss""")
@@ -252,6 +259,29 @@ def silhouettes(spark, folder):
     return cluster.silhouettes(items, vectors.dims("f", K), range(2, 10))
 
 
+@query("j25_label_silhouette", extra="""
+    points AS (SELECT l.item, e.label AS c, l.factor, l.loading AS x FROM loadings l
+               JOIN embeddings e ON e.vec_id = l.item),
+    norms AS (SELECT item, c, SUM(x * x) AS xx FROM points GROUP BY item, c),
+    sums AS (SELECT c, factor, SUM(x) AS s FROM points GROUP BY c, factor),
+    sizes AS (SELECT c, COUNT(*) AS m, SUM(xx) AS q FROM norms GROUP BY c),
+    far AS (SELECT p.item, p.c AS own, z.c AS other, z.m, z.m * n.xx - 2 * SUM(p.x * s.s) + z.q AS total
+            FROM points p JOIN norms n ON n.item = p.item JOIN sums s ON s.factor = p.factor
+            JOIN sizes z ON z.c = s.c GROUP BY p.item, p.c, z.c, z.m, z.q, n.xx),
+    near AS (SELECT item, MAX(CASE WHEN own = other THEN total / (m - 1) END) AS a,
+                    MIN(CASE WHEN own <> other THEN total / m END) AS b FROM far GROUP BY item)""", sql="""
+    SELECT round(AVG((b - a) / GREATEST(a, b)), 6) + 0.0 AS silhouette FROM near""")
+def label_silhouette(spark, folder):
+    """Silhouette of the vectors' own labels."""
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    width = table.agg(F.max(F.size("embedding"))).first()[0]
+    names = vectors.dims("f", width)
+    wide = table.select(F.col("label").alias("cluster"), *[
+        F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    return spark.createDataFrame([(cluster.silhouette(wide, names),)], "s double").select(
+        fixed(F.col("s")).alias("silhouette"))
+
+
 @query("j26_cluster_agreement", extra="""
     prime AS (SELECT item, ARG_MAX(factor, (ABS(loading), -factor)) AS factor FROM loadings GROUP BY item),
     pairs AS (SELECT e.vec_id AS item, e.label AS cluster, p.factor FROM embeddings e

@@ -35,6 +35,11 @@ def silhouettes(vectors: DataFrame, names: list[str], counts, seed: int = 42) ->
     return vectors.sparkSession.createDataFrame(scores, "k int, silhouette double")
 
 
+def silhouette(clustered: DataFrame, names: list[str]) -> float:
+    """Mean silhouette (squared Euclidean) of a given ``cluster`` column."""
+    return float(ClusteringEvaluator(predictionCol="cluster").evaluate(assemble(clustered, names)))
+
+
 def best_count(scores: DataFrame) -> DataFrame:
     """The first count with the largest silhouette."""
     return scores.orderBy(F.col("silhouette").desc(), "k").limit(1)
