@@ -34,7 +34,7 @@ def test_reconstruction_error_falls_with_k(cells, items, takers):
     assert errors == sorted(errors, reverse=True)
 
 
-def test_subspace_iteration_finds_the_same_factors(cells, items, takers):
+def test_krylov_iteration_finds_the_same_factors(cells, items, takers):
     exact, iv, _ = vectors.truncated_svd(cells[1], items, takers, 2)
     values, jv, tv = vectors.truncated_svd(cells[1], items, takers, 2, gram_limit=10)
     assert np.allclose(values, exact, rtol=1e-6)
