@@ -209,19 +209,21 @@ def split_subset(spark, folder):
 
 
 def filled(strategy):
+    """Nine digits: column means often end in a 5 at the seventh, where the order of a
+    floating-point sum would decide the rounding."""
     def run(spark, folder):
         return (clean.fill_missing(pair_cells(spark, folder), "pair", "p", strategy)
-                .withColumn("p", fixed(F.col("p"))))
+                .withColumn("p", fixed(F.col("p"), 9)))
     return run
 
 
 query("d1_fill_zero", extra=PAIR_SQL, sql="""
-    SELECT taker, pair, round(COALESCE(p, 0), 6) + 0.0 AS p FROM pair_cells""")(filled("zero"))
+    SELECT taker, pair, round(COALESCE(p, 0), 9) + 0.0 AS p FROM pair_cells""")(filled("zero"))
 query("d2_fill_mean", extra=PAIR_SQL, sql="""
-    SELECT taker, pair, round(COALESCE(p, AVG(p) OVER (PARTITION BY pair)), 6) + 0.0 AS p
+    SELECT taker, pair, round(COALESCE(p, AVG(p) OVER (PARTITION BY pair)), 9) + 0.0 AS p
     FROM pair_cells""")(filled("mean"))
 query("d3_fill_median", extra=PAIR_SQL, sql="""
-    SELECT taker, c.pair, round(COALESCE(p, m), 6) + 0.0 AS p FROM pair_cells c
+    SELECT taker, c.pair, round(COALESCE(p, m), 9) + 0.0 AS p FROM pair_cells c
     JOIN (SELECT pair, QUANTILE_CONT(p, 0.5) AS m FROM pair_cells GROUP BY pair) f
       ON f.pair = c.pair""")(filled("median"))
 
