@@ -19,14 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
-    current = context.getCheckpointDir()
-    if folder is None and current is None:
+    if folder:
+        return folder
+    if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="itemspark-")
-    if current is None:
-        context.setCheckpointDir(folder)
-    return folder or current
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="itemspark-"))
+    return context.getCheckpointDir()
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

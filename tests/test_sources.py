@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from itemspark import session
@@ -53,3 +54,31 @@ def test_shared_folder_follows_the_session(spark):
     named = spark.conf.get(session.CHECKPOINT_DIR, None)
     if named:
         assert session.shared_folder(spark) == named
+
+
+class FakeContext:
+    """Just the calls that ``shared_folder`` makes."""
+
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+        self.sparkContext = self.conf = self
+
+    def get(self, key, default=None):
+        return default
+
+    def getConf(self):
+        return self
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder + "/inner"
+
+
+def test_shared_folder_without_the_setting():
+    local = FakeContext("local[2]")
+    assert session.shared_folder(local) == session.shared_folder(local) == local.folder
+    with pytest.raises(RuntimeError):
+        session.shared_folder(FakeContext("spark://host:7077"))
+    assert session.shared_folder(FakeContext("yarn", "hdfs:///shared")) == "hdfs:///shared"
