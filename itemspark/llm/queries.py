@@ -2,6 +2,6 @@
 
 from itemspark.llm.registry import ORACLES, QUERIES
 
-from itemspark.llm import (media, shards, warc)  # noqa: F401
+from itemspark.llm import (chat, media, packing, shards, topk, warc)  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
