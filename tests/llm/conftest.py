@@ -1,0 +1 @@
+"""The session fixture comes from the tests above this folder."""
