@@ -180,9 +180,10 @@ def page_captures(spark: SparkSession, path: str) -> DataFrame:
     fields = F.col("metadata.block")
     own = (captures(rows).withColumn("page_id", _field(fields, "page_id").cast("long"))
            .withColumn("url", F.url_decode(_field(fields, "url"))))
-    answers = (own.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"))
+    answers = (own.where("record_type = 'response'").groupBy(F.col("record_id").alias("_answer"))
                .agg(F.min("page_id").alias("response_page"), F.max("payload_bytes").alias("response_bytes")))
-    return own.join(answers, "refers_to", "left")
+    # responses look up themselves: a null key would send them all to one task
+    return own.withColumn("_answer", F.coalesce("refers_to", "record_id")).join(answers, "_answer", "left").drop("_answer")
 
 
 @query("op8_warc", """
