@@ -2,6 +2,6 @@
 
 from itemspark.llm.registry import ORACLES, QUERIES
 
-from itemspark.llm import (chat, language, media, mixing, packing, shards, simhash, topk, warc)  # noqa: F401
+from itemspark.llm import (chat, language, media, mixing, packing, repeats, shards, simhash, topk, warc)  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
