@@ -250,9 +250,11 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
+def without_repeats(docs: DataFrame, match: int = MATCH, as_text: bool = False) -> DataFrame:
     """Add ``removed`` (array of start, end: maximal removed byte runs) and ``kept`` (the
     other bytes) to the documents; columns of those names are replaced, others stay.
+    ``as_text`` gives ``kept`` as a string: a code point cut by the end of a removed run
+    goes with the run.
 
     Removed is every byte covered by a string of ``match`` UTF-8 bytes that also starts
     anywhere else, in this or another document; matches don't cross documents and are
@@ -273,13 +275,14 @@ def without_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
             for text, found in zip(batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist()):
                 data, gone = (text or "").encode(), merged(found)
                 edges = [0, *(x for span in gone for x in span), len(data)]
+                parts = [data[a:b] for a, b in zip(edges[::2], edges[1::2])]
                 removed.append([{"start": a, "end": b} for a, b in gone])
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            yield pa.record_batch([*batch.columns[:-1], pa.array(removed, run_type), pa.array(kept, pa.binary())],
+                kept.append("".join(p.decode("utf-8", "ignore") for p in parts) if as_text else b"".join(parts))
+            yield pa.record_batch([*batch.columns[:-1], pa.array(removed, run_type), pa.array(kept, pa.string() if as_text else pa.binary())],
                                   names=[*batch.schema.names[:-1], "removed", "kept"])
 
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(
-        "removed array<struct<start: long, end: long>>, kept binary").fields])
+        f"removed array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}").fields])
     return joined.mapInArrow(run, schema)
 
 
