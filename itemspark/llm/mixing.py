@@ -16,7 +16,7 @@ from itemspark.session import cut_lineage
 DIMENSIONS = ("source", "lang", "topic")
 POWER = 0.9                 # targets: token shares to this power, so rare values gain
 TOLERANCE = 1e-12
-MOST_ROUNDS = 100
+LEAST_GAIN = 0.05           # a round must bring the marginals nearer by this part
 CELLS_PER_TASK = 100_000
 MISSING = "(none)"
 
@@ -53,14 +53,16 @@ def _marginals(cells: DataFrame, weight: str) -> DataFrame:
     return long.groupBy("at.dim", "at.value").agg(F.sum(weight).alias("total"))
 
 
-def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """cells (with column tokens) and their ``weight``: shares whose marginals are the
-    targets, as near to the tokens' own shares as can be.
+def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (with column tokens) with their ``weight``, shares whose marginals are the
+    targets, as near to the tokens' own shares as can be, and ``target_gap``, the largest
+    distance of a marginal from its target.
 
     A target for a value without tokens cannot be met and is left out, the others of
-    its dimension being scaled up; a value without a target gets weight 0.  Raises if
-    the marginals do not settle to ``tolerance``, which happens when the empty cells
-    rule the targets out.  No cells: no rows.
+    its dimension being scaled up; a value without a target gets weight 0.  Rounds end
+    when the gap is within ``tolerance``, or no longer falls by LEAST_GAIN: empty cells
+    can rule out that all targets hold, and then those of the last dimension do.  No
+    cells: no rows.
     """
     tasks = cells.count() // CELLS_PER_TASK + 1
     near = (lambda df: df.coalesce(1)) if tasks == 1 else (lambda df: df)     # small: no exchange in a round
@@ -69,7 +71,8 @@ def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, mo
     targets = cut_lineage(near(present.join(F.broadcast(whole), "dim").select(
         "dim", "value", F.when(F.col("whole") > 0, F.col("target") / F.col("whole")).otherwise(0.0).alias("target"))), "targets")
     now = cut_lineage(near(cells.withColumn("weight", F.col("tokens").cast("double"))), "weights")
-    for _ in range(most_rounds):
+    before = float("inf")
+    while True:
         for d in DIMENSIONS:
             now = near(now)
             sums = now.groupBy(f"_{d}").agg(F.sum("weight").alias("total"))
@@ -78,14 +81,14 @@ def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, mo
             now = cut_lineage(now.join(factor, f"_{d}").withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "weights")
         off = (near(_marginals(near(now), "weight")).join(near(targets), ["dim", "value"])
                .agg(F.max(F.abs(F.col("total") - F.col("target")))).first()[0])
-        if off is None or off < tolerance:
-            return now
-    raise ValueError(f"marginals are still off by {off} after {most_rounds} rounds")
+        if off is None or off < tolerance or off > (1 - LEAST_GAIN) * before:
+            return now.withColumn("target_gap", F.lit(off).cast("double"))
+        before = off
 
 
 def mixed(docs: DataFrame, power: float = POWER, seed: int = 42) -> DataFrame:
     """Add topic, tokens, ``weight`` (token share the document's cell shall have),
-    ``probability`` and ``sampled``.
+    ``target_gap`` (see ``raked``), ``probability`` and ``sampled``.
 
     The probability is the cell's weight over its tokens, relative to the largest such
     ratio, so that the expected sample meets all targets and no document is taken
@@ -94,13 +97,13 @@ def mixed(docs: DataFrame, power: float = POWER, seed: int = 42) -> DataFrame:
     as an empty one.  Columns of the added names are replaced; an empty table stays
     empty.
     """
-    rows = marked(docs.drop("topic", "tokens", "weight", "probability", "sampled"))
+    rows = marked(docs.drop("topic", "tokens", "weight", "target_gap", "probability", "sampled"))
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = cut_lineage(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), "cells")
     now = raked(cells, tempered_targets(cells, power))
     ratio = F.col("weight") / F.col("tokens")
     top = now.agg(F.max(ratio).alias("top"))
-    rates = cut_lineage(now.join(F.broadcast(top)).select(*keys, "weight", (ratio / F.col("top")).alias("probability")), "rates")
+    rates = cut_lineage(now.join(F.broadcast(top)).select(*keys, "weight", "target_gap", (ratio / F.col("top")).alias("probability")), "rates")
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)))), 1, 8), 16, 10)
     return (rows.join(rates, keys).drop(*keys)
             .withColumn("sampled", draw.cast("double") / F.lit(float(1 << 32)) < F.col("probability")))
