@@ -27,6 +27,7 @@ END_ID = 1
 BUCKET_ROWS = 50_000        # rows of one bucket, about; a bucket is numbered by one task
 CACHED_WORDS = 300_000      # words whose ids a task remembers
 CACHED_CHARS = 64           # longer words are encoded each time
+MARKS = ".,!?;:*$&|)"
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -124,25 +125,65 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def word_ids(path: str):
-    """A function from texts to the bytes of their ids (little-endian, unsigned, 32 bits).
+    """A function from a list of texts to the bytes of their ids (little-endian, unsigned,
+    32 bits).
 
     The tokenizer drops white space and never joins what stands on both sides of a
     space, so a text's ids are those of its words in turn, and each word is encoded
-    once as long as it is remembered.
+    once as long as it is remembered.  Words of Latin letters are one piece each, also in
+    lower case, and marks behind them are one more; many words are encoded in one call
+    and the ids cut where a piece ends.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
     tokenizer, known = Tokenizer.from_file(path), {}
+    letters = Tokenizer.from_file(path)             # for lower-case words of Latin letters
+    letters.normalizer = normalizers.Sequence([])
+    letters.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    vocabulary = tokenizer.get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def one_by_one(words: list[str]) -> None:
+        for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(text: str) -> bytes:
-        words = text.split(" ")
-        new = [w for w in set(words) if w not in known]
-        if len(known) > CACHED_WORDS:
+    def learn(words: list[str]) -> None:
+        stems, other = {}, []
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+                stems[w] = stem.lower()
+                tail = w[len(stem):]
+                if tail and tail not in known:
+                    one_by_one([tail])
+            else:
+                other.append(w)
+        new = [w for w in set(stems.values()) if w not in known]
+        if new:
+            ids = np.array(letters.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(last[ids]) + 1).tolist()
+            if len(ends) == len(new):
+                data = ids.tobytes()
+                for w, a, b in zip(new, [0, *ends], ends):
+                    known[w] = data[4 * a:4 * b]
+            else:
+                one_by_one(new)
+        for w, stem in stems.items():
+            known[w] = known[stem] + known[w[len(stem):]]
+        if other:
+            one_by_one(other)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(known) > CACHED_WORDS or not known:
             known.clear()
-            new = list(set(words))
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        ids = b"".join([known[w] for w in words])
+            known[""] = b""
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*parts) - known.keys()
+        if new:
+            learn(list(new))
+        ids = [b"".join(map(known.__getitem__, words)) for words in parts]
         for w in new:
             if len(w) > CACHED_CHARS:
                 del known[w]
@@ -151,6 +192,19 @@ def word_ids(path: str):
     return encode
 
 
+def batches_of(texts: list[str], chars: int = 1 << 19):
+    """Consecutive texts of about ``chars`` signs together, at least one."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of the pieces.
 
@@ -164,8 +218,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids:
         encode, end = word_ids(tokenizer), struct.pack("<I", END_ID)
         for frame in frames:
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
-                data = encode(text) + end
+            encoded = (x for part in batches_of(frame["text"].tolist()) for x in encode(part))
+            for doc, ids_of in zip(frame["doc_id"], encoded):
+                data = ids_of + end
                 for i, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at:at + 4 * capacity]
                     rows.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
