@@ -53,8 +53,8 @@ def item_easiness(spark, folder):
             SELECT m.taker, MAX(theta) AS theta, MAX(step) AS step,
                    SUM(s - m * (1 / (1 + EXP(-(theta + z))))) AS g,
                    SUM(m * (1 / (1 + EXP(-(theta + z)))) * (1 - 1 / (1 + EXP(-(theta + z))))) AS h
-            FROM merged m JOIN newton k ON k.taker = m.taker WHERE step < 8 GROUP BY m.taker))""", sql="""
-    SELECT taker, round(theta, 6) + 0.0 AS theta FROM newton WHERE step = 8""")
+            FROM merged m JOIN newton k ON k.taker = m.taker WHERE step < 40 GROUP BY m.taker))""", sql="""
+    SELECT taker, round(theta, 6) + 0.0 AS theta FROM newton WHERE step = 40""")
 def taker_abilities(spark, folder):
     _, _, train = split_study(spark, folder)
     _, takers = irt.fit_one_parameter(train)
@@ -70,7 +70,6 @@ def one_parameter_evaluation(spark, folder):
 
 
 COMPONENTS = ["air_bench_2024", "legalbench", "med_qa", "mmlu", "not_listed", "thai_exam"]
-ROUNDS = 6
 
 
 def component_qmatrix(items):
@@ -80,7 +79,7 @@ def component_qmatrix(items):
 def confirmatory(spark, folder, theta_min):
     s, cells, train = split_study(spark, folder)
     masks = irt.qmatrix_masks(component_qmatrix(s.items), COMPONENTS)
-    model = irt.fit_joint(train, s.takers, masks, len(COMPONENTS), ROUNDS, theta_min)
+    model = irt.fit_joint(train, s.takers, masks, len(COMPONENTS), theta_min=theta_min)
     return s, cells, model
 
 
@@ -94,7 +93,7 @@ def confirmatory_evaluation(spark, folder):
 def two_stage_evaluation(spark, folder):
     s, cells, train = split_study(spark, folder)
     masks = irt.qmatrix_masks(component_qmatrix(s.items), COMPONENTS)
-    model = irt.fit_nuisance(train, s.takers, masks, len(COMPONENTS), ROUNDS)
+    model = irt.fit_nuisance(train, s.takers, masks, len(COMPONENTS))
     return irt.evaluate(cells, model, s.items, s.takers)
 
 
@@ -103,21 +102,21 @@ def bifactor_evaluation(spark, folder):
     s, cells, train = split_study(spark, folder)
     names = ["g_factor"] + COMPONENTS
     masks = irt.qmatrix_masks(qmatrix.bifactor(component_qmatrix(s.items)), names)
-    model = irt.fit_joint(train, s.takers, masks, len(names), ROUNDS)
+    model = irt.fit_joint(train, s.takers, masks, len(names))
     return irt.evaluate(cells, model, s.items, s.takers)
 
 
 @query("k4_exploratory_items")
 def exploratory_items(spark, folder):
     s, _, train = split_study(spark, folder)
-    model = irt.fit_exploratory(train, s.items, s.takers, [4], ROUNDS)
+    model = irt.fit_exploratory(train, s.items, s.takers, [4])
     return model.items.select("item", *vectors.dims("a", 4), "d")
 
 
 @query("k5_dimension_sweep")
 def dimension_sweep(spark, folder):
     s, cells, train = split_study(spark, folder)
-    model = irt.fit_exploratory(train, s.items, s.takers, list(range(2, 12)), 3, 2)
+    model = irt.fit_exploratory(train, s.items, s.takers, list(range(2, 12)))
     return irt.evaluate(cells, model, s.items, s.takers)
 
 
@@ -161,18 +160,20 @@ def score_model(spark, folder):
 
 STEP_SQL = """
     train AS (SELECT c.taker, c.item, c.y, i.scenario, s.p, q.a, q.d,
-                     c.y - 1 / (1 + EXP(-(s.p * q.a - q.d))) AS gap
+                     c.y - 1 / (1 + EXP(-(s.p * q.a - q.d))) AS gap,
+                     1 / (2 + EXP(s.p * q.a - q.d) + EXP(q.d - s.p * q.a)) AS bend
               FROM split c JOIN items i ON i.item = c.item JOIN params q ON q.item = c.item
               JOIN scores s ON s.taker = c.taker AND s.scenario = i.scenario WHERE split = 'train'),
-    item_sums AS (SELECT item, SUM(gap * p) AS ga, SUM(p * (1 + p) / 4) AS ha, SUM(gap) AS gd,
-                         SUM((1 + p) / 4) AS hd FROM train GROUP BY item),
-    taker_sums AS (SELECT taker, scenario, SUM(gap * a) AS g, SUM(a * (1 + a) / 4) AS h
+    item_sums AS (SELECT item, SUM(gap * p) AS ga, SUM(p * (1 + p) * bend) AS ha, SUM(gap) AS gd,
+                         SUM((1 + p) * bend) AS hd FROM train GROUP BY item),
+    taker_sums AS (SELECT taker, scenario, SUM(gap * a) AS g, SUM(a * (1 + a) * bend) AS h
                    FROM train GROUP BY taker, scenario)"""
 
 
 @query("k2_item_step", extra=STEP_SQL, sql="""
-    SELECT q.item, round(GREATEST(1e-6, a + (COALESCE(ga, 0) + 0.1 * (1 - a)) / (COALESCE(ha, 0) + 0.1)), 6) + 0.0 AS a,
-           round(d - (COALESCE(gd, 0) + 0.1 * d) / (COALESCE(hd, 0) + 0.1), 6) + 0.0 AS d
+    SELECT q.item, round(GREATEST(1e-6, a + GREATEST(-2, LEAST(2, 1.5 *
+               (COALESCE(ga, 0) + 0.1 * (1 - a)) / (COALESCE(ha, 0) + 0.1)))), 6) + 0.0 AS a,
+           round(d - GREATEST(-2, LEAST(2, 1.5 * (COALESCE(gd, 0) + 0.1 * d) / (COALESCE(hd, 0) + 0.1))), 6) + 0.0 AS d
     FROM params q LEFT JOIN item_sums s ON s.item = q.item""")
 def item_step(spark, folder):
     """One step of the alternating fit: all item parameters, abilities fixed."""
@@ -185,7 +186,7 @@ def item_step(spark, folder):
 
 @query("k2_taker_step", extra=STEP_SQL, sql="""
     SELECT s.taker, s.scenario AS component,
-           round(GREATEST(0, p + (COALESCE(g, 0) - p) / (COALESCE(h, 0) + 1)), 6) + 0.0 AS theta
+           round(GREATEST(0, p + GREATEST(-2, LEAST(2, 1.5 * (COALESCE(g, 0) - p) / (COALESCE(h, 0) + 1)))), 6) + 0.0 AS theta
     FROM scores s LEFT JOIN taker_sums t ON t.taker = s.taker AND t.scenario = s.scenario""")
 def taker_step(spark, folder):
     """The other step: all abilities, items fixed; a dimension sees its own items only.

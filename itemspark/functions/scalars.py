@@ -52,8 +52,10 @@ def shorten(text: Column, width: int, mark: str = "...") -> Column:
 
 
 def title_words(label: Column) -> Column:
-    """``dyck_language`` -> ``Dyck Language``."""
-    return F.initcap(F.replace(label, F.lit("_"), F.lit(" ")))
+    """``dyck_language`` -> ``Dyck Language``, ``gsm8k`` -> ``Gsm8K``: every letter that
+    follows no letter is upper case, the others lower case."""
+    runs = F.regexp_extract_all(F.lower(F.replace(label, F.lit("_"), F.lit(" "))), F.lit(r"\p{L}+|\P{L}+"), 0)
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))), "")
 
 
 def loading_band(loading: Column, high: float = 0.3, low: float = 0.2) -> Column:

@@ -5,10 +5,10 @@ taker, t1..tk); the probability of a right answer is sigmoid(a . t - d).  One
 step joins the cells with both tables and adds up gradients per item or per
 taker, so a hot item or taker is combined map-side like any other sum.
 
-Steps maximise the penalised likelihood by a separable quadratic bound
-(p (1 - p) <= 1/4): every parameter moves by gradient over curvature and is then
-clamped.  The bound makes each step an improvement, with the clamps as well.
-``model`` lets many models (a sweep of dimensions) share every pass.
+Steps raise the penalised likelihood by a separable quadratic model of it: every
+parameter moves by gradient over its share of the curvature and is then clamped.
+Rounds go on until the likelihood settles; a fit that doesn't settle is an error,
+not a result.  ``model`` lets many models (a sweep of dimensions) share every pass.
 """
 
 from __future__ import annotations
@@ -26,6 +26,13 @@ from itemspark.operators.moments import collect_matrix, dense_gram
 from itemspark.operators.vectors import dims
 from itemspark.session import cut_lineage
 
+#: A fit has settled when a round changes the log-likelihood by less than this share.
+TOLERANCE = 5e-4
+#: Factor on the steps of the alternating fits; below 2.
+RELAXATION = 1.5
+#: A fit that hasn't settled after so many rounds raises.
+MOST_ROUNDS = 500
+
 
 # --- one dimension ---------------------------------------------------------
 
@@ -68,12 +75,12 @@ def easiness_by_mean(items: DataFrame, limit: float = 12.0, halvings: int = 45)
     return items.join(solved, ["correct", "asked"])
 
 
-def fit_one_parameter(train: DataFrame, rounds: int = 8, ridge: float = 1e-3
+def fit_one_parameter(train: DataFrame, tolerance: float = 1e-8, ridge: float = 1e-3
                       ) -> tuple[DataFrame, DataFrame]:
     """Two-stage model sigmoid(theta + z): ``items`` (item, z), ``takers`` (taker, theta).
 
-    Stage two is Newton's method with ``z`` fixed.  ``ridge`` keeps takers with only
-    right or only wrong answers finite.
+    Stage two is Newton's method with ``z`` fixed, until no ability moves by more than
+    ``tolerance``.  ``ridge`` keeps takers with only right or only wrong answers finite.
     """
     sums = train.groupBy("item").agg(F.sum("y").alias("correct"), F.count("y").alias("asked"))
     items = cut_lineage(easiness_by_mean(sums))
@@ -81,17 +88,17 @@ def fit_one_parameter(train: DataFrame, rounds: int = 8, ridge: float = 1e-3
     merged = cut_lineage(train.join(items.select("item", "z"), "item").groupBy("taker", "z")
                          .agg(F.count("y").alias("n"), F.sum("y").alias("s")))
     takers = merged.select("taker").distinct().withColumn("theta", F.lit(0.0))
-    for done in range(1, rounds + 1):
+    for _ in range(MOST_ROUNDS):
         p = sigmoid(F.col("theta") + F.col("z"))
         moved = merged.join(takers, "taker").groupBy("taker").agg(
             F.max("theta").alias("old"), F.sum(F.col("s") - F.col("n") * p).alias("g"),
             F.sum(F.col("n") * p * (1 - p)).alias("h"))
         step = (F.col("g") - ridge * F.col("old")) / (F.col("h") + ridge)
-        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))
-        takers = moved.select("taker", (F.col("old") + step).alias("theta"))
-        if done % 4 == 0:
-            takers = cut_lineage(takers)
-    return items, takers
+        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))       # Newton: not relaxed
+        takers = cut_lineage(moved.select("taker", (F.col("old") + step).alias("theta"), step.alias("_step")))
+        if (takers.agg(F.max(F.abs("_step"))).first()[0] or 0.0) < tolerance:
+            return items, takers.drop("_step")
+    raise RuntimeError(f"abilities still move after {MOST_ROUNDS} rounds")
 
 
 def one_parameter_scores(cells: DataFrame, items: DataFrame, takers: DataFrame) -> DataFrame:
@@ -164,15 +171,32 @@ def start(train: DataFrame, takers: DataFrame, masks: DataFrame, k: int, theta_m
 
 
 def _sums(weights: list[Column], k: int, prefix: str) -> list[Column]:
-    """Gradient and curvature sums of one side, given the other side's values."""
-    reach = sum((F.abs(w) for w in weights), F.lit(1.0))
-    gap = F.col("y") - sigmoid(_logit(k))
-    out = [F.sum(gap).alias(f"{prefix}gd"), F.sum(reach / 4).alias(f"{prefix}hd")]
+    """Gradient, curvature and log-likelihood sums of one side, given the other side's
+    values; a cell's curvature is dealt to the parameters by the size of their weights."""
+    p = sigmoid(_logit(k))
+    gap, bend = F.col("y") - p, p * (1 - p) * sum((F.abs(w) for w in weights), F.lit(1.0))
+    out = [F.sum(gap).alias(f"{prefix}gd"), F.sum(bend).alias(f"{prefix}hd"),
+           F.sum(log_likelihood(F.col("y"), p)).alias(f"{prefix}ll")]
     for i, w in enumerate(weights, 1):
-        out += [F.sum(gap * w).alias(f"{prefix}g{i}"), F.sum(F.abs(w) * reach / 4).alias(f"{prefix}h{i}")]
+        out += [F.sum(gap * w).alias(f"{prefix}g{i}"), F.sum(F.abs(w) * bend).alias(f"{prefix}h{i}")]
     return out
 
 
+def _kept(step: Column, most: float = 2.0) -> Column:
+    """A step, relaxed beyond 1 as the dealt-out curvature is too large, but not larger
+    than ``most``, as it holds near the present value only."""
+    return F.greatest(F.lit(-most), F.least(F.lit(most), RELAXATION * step))
+
+
+def _settled(model: Model, before: dict[int, float], tolerance: float) -> bool:
+    """Whether no model's likelihood changed by ``tolerance`` of itself; notes the new ones."""
+    now = {r["model"]: r["ll"] for r in                     # one row per model
+           model.takers.groupBy("model").agg(F.sum("_ll").alias("ll")).collect()}
+    done = all(abs(ll - before.get(m, float("inf"))) <= tolerance * abs(ll) for m, ll in now.items())
+    before.update(now)
+    return done
+
+
 def item_step(train: DataFrame, model: Model, a_min: float = 1e-6, ridge: float = 0.1) -> Model:
     """Move a and d of every item with the abilities fixed; masked a stay 0."""
     k = model.k
@@ -181,45 +205,52 @@ def item_step(train: DataFrame, model: Model, a_min: float = 1e-6, ridge: float
     table = model.items.join(sums, ["model", "item"], "left").na.fill(0.0)
     new = []
     for i, (a, q) in enumerate(zip(dims("a", k), dims("q", k)), 1):
-        move = (F.col(f"_g{i}") + ridge * (1 - F.col(a))) / (F.col(f"_h{i}") + ridge)
+        move = _kept((F.col(f"_g{i}") + ridge * (1 - F.col(a))) / (F.col(f"_h{i}") + ridge))
         new.append((F.greatest(F.lit(a_min), F.col(a) + move) * F.col(q)).alias(a))
-    d = F.col("d") - (F.col("_gd") + ridge * F.col("d")) / (F.col("_hd") + ridge)
+    d = F.col("d") - _kept((F.col("_gd") + ridge * F.col("d")) / (F.col("_hd") + ridge))
     items = table.select("model", "item", *dims("q", k), *new, d.alias("d"))
     return Model(cut_lineage(items), model.takers, k)
 
 
 def taker_step(train: DataFrame, model: Model, theta_min: float | None = 0.0,
                ridge: float = 1.0) -> Model:
-    """Move the abilities with the items fixed; N(0, 1/ridge) prior."""
+    """Move the abilities with the items fixed; N(0, 1/ridge) prior.
+
+    ``_ll`` in the new table is the log-likelihood of a taker's cells before the step.
+    """
     k = model.k
     weights = [F.col(a) for a in dims("a", k)]
     sums = _joined(train, model).groupBy("model", "taker").agg(*_sums(weights, k, "_"))
-    table = model.takers.join(sums, ["model", "taker"], "left").na.fill(0.0)
+    table = model.takers.drop("_ll").join(sums, ["model", "taker"], "left").na.fill(0.0)
     new = []
     for i, t in enumerate(dims("t", k), 1):
-        x = F.col(t) + (F.col(f"_g{i}") - ridge * F.col(t)) / (F.col(f"_h{i}") + ridge)
+        x = F.col(t) + _kept((F.col(f"_g{i}") - ridge * F.col(t)) / (F.col(f"_h{i}") + ridge))
         new.append((x if theta_min is None else F.greatest(F.lit(theta_min), x)).alias(t))
-    return Model(model.items, cut_lineage(table.select("model", "taker", *new)), k)
+    return Model(model.items, cut_lineage(table.select("model", "taker", *new, "_ll")), k)
+
+
+def _until_settled(model: Model, rounds, tolerance: float) -> Model:
+    before: dict[int, float] = {}
+    for _ in range(MOST_ROUNDS):
+        model = rounds(model)
+        if _settled(model, before, tolerance):
+            return Model(model.items, model.takers.drop("_ll"), model.k)
+    raise RuntimeError(f"the likelihood has not settled after {MOST_ROUNDS} rounds")
 
 
-def fit_joint(train: DataFrame, takers: DataFrame, masks: DataFrame, k: int, rounds: int = 20,
+def fit_joint(train: DataFrame, takers: DataFrame, masks: DataFrame, k: int, tolerance: float = TOLERANCE,
               theta_min: float | None = 0.0, a_min: float = 1e-6, seed: int = 0) -> Model:
     """Alternate item and taker steps.  ``theta_min=None`` leaves abilities free."""
-    model = start(train, takers, masks, k, theta_min, seed)
-    for _ in range(rounds):
-        model = item_step(train, model, a_min)
-        model = taker_step(train, model, theta_min)
-    return model
+    begun = start(train, takers, masks, k, theta_min, seed)
+    return _until_settled(begun, lambda m: taker_step(train, item_step(train, m, a_min), theta_min), tolerance)
 
 
-def fit_nuisance(train: DataFrame, takers: DataFrame, masks: DataFrame, k: int, rounds: int = 20,
+def fit_nuisance(train: DataFrame, takers: DataFrame, masks: DataFrame, k: int, tolerance: float = TOLERANCE,
                  theta_min: float | None = 0.0, a_min: float = 1e-6) -> Model:
     """Two-stage variant: closed-form items, then abilities only."""
-    model = start(train, takers, masks, k, theta_min)
-    model = Model(cut_lineage(nuisance_items(train, masks, k, a_min)), model.takers, k)
-    for _ in range(rounds):
-        model = taker_step(train, model, theta_min)
-    return model
+    begun = start(train, takers, masks, k, theta_min)
+    begun = Model(cut_lineage(nuisance_items(train, masks, k, a_min)), begun.takers, k)
+    return _until_settled(begun, lambda m: taker_step(train, m, theta_min), tolerance)
 
 
 def rotate_items(model: Model) -> DataFrame:
@@ -240,15 +271,13 @@ def rotate_items(model: Model) -> DataFrame:
 
 
 def fit_exploratory(train: DataFrame, items: DataFrame, takers: DataFrame, sizes: list[int],
-                    rounds: int = 20, final_rounds: int = 5, seed: int = 0) -> Model:
+                    tolerance: float = TOLERANCE, seed: int = 0) -> Model:
     """Unrestricted models of the given sizes in shared passes: joint fit with a >= 0,
     varimax per size, then the abilities again for the rotated items."""
     k = max(sizes)
-    model = fit_joint(train, takers, free_masks(items, k, sizes), k, rounds, 0.0, 0.0, seed)
+    model = fit_joint(train, takers, free_masks(items, k, sizes), k, tolerance, 0.0, 0.0, seed)
     model = Model(cut_lineage(rotate_items(model)), model.takers, k)
-    for _ in range(final_rounds):
-        model = taker_step(train, model, 0.0)
-    return model
+    return _until_settled(model, lambda m: taker_step(train, m, 0.0), tolerance)
 
 
 def evaluate(cells: DataFrame, model: Model, items: DataFrame, takers: DataFrame) -> DataFrame:
@@ -281,13 +310,14 @@ def item_table(model: Model) -> DataFrame:
 
 # --- fixed unit discriminations with a covariance penalty ------------------
 
-def fit_penalised(cells: DataFrame, takers: DataFrame, masks: DataFrame, k: int, epochs: int = 5,
+def fit_penalised(cells: DataFrame, takers: DataFrame, masks: DataFrame, k: int, tolerance: float = 1e-3,
                   weight: float = 0.001, seed: int = 0) -> tuple[Model, DataFrame]:
     """Unit discriminations on the Q-matrix; loss = mean cross entropy plus ``weight``
     times the squared distance of the abilities' covariance to the identity.
 
-    ``cells`` carry a ``split``; the whole train part is one batch.  Returns the
-    model and per epoch the train loss, test loss and test AUC.
+    ``cells`` carry a ``split``; the whole train part is one batch.  Epochs end when
+    one changes the train loss by less than ``tolerance`` of itself.  Returns the model
+    and per epoch the train loss, test loss and test AUC.
     """
     train = cells.filter("split = 'train'")
     begun = start(train, takers, masks, k, None, seed)
@@ -296,21 +326,22 @@ def fit_penalised(cells: DataFrame, takers: DataFrame, masks: DataFrame, k: int,
         "model", "item", *dims("q", k), *ones, hash_normal(["item"], f"{seed}-b").alias("d"))),
         cut_lineage(begun.takers.select("model", "taker", *[(F.col(c) * 2).alias(c) for c in dims("t", k)])), k)
     n_cells = train.count()
-    history = None
-    for epoch in range(1, epochs + 1):
-        gradient, bound, penalty, mean = _penalty(model)
+    history, before = None, float("inf")
+    gradient, bound, penalty, mean = _penalty(model)
+    for epoch in range(1, MOST_ROUNDS + 1):
         n = n_cells * weight
         weights = [F.col(a) for a in dims("a", k)]
         sums = _joined(train, model).groupBy("model", "taker").agg(*_sums(weights, k, "_"))
         table = model.takers.join(sums, ["model", "taker"], "left").na.fill(0.0)
         centred = [F.col(c) - F.lit(float(m)) for c, m in zip(dims("t", k), mean)]
-        new = [(F.col(t) + (F.col(f"_g{i + 1}") - n * dot(centred, [F.lit(float(v)) for v in gradient[:, i]]))
-                / (F.col(f"_h{i + 1}") + n * bound + 1e-9)).alias(t) for i, t in enumerate(dims("t", k))]
+        new = [(F.col(t) + _kept((F.col(f"_g{i + 1}") - n * dot(centred, [F.lit(float(v)) for v in gradient[:, i]]))
+                / (F.col(f"_h{i + 1}") + n * bound + 1e-9))).alias(t) for i, t in enumerate(dims("t", k))]
         model = Model(model.items, cut_lineage(table.select("model", "taker", *new)), k)
         gaps = _joined(train, model).groupBy("model", "item").agg(
-            F.sum(F.col("y") - sigmoid(_logit(k))).alias("_g"), F.count(F.lit(1)).alias("_n"))
+            F.sum(F.col("y") - sigmoid(_logit(k))).alias("_g"),
+            F.sum(sigmoid(_logit(k)) * (1 - sigmoid(_logit(k)))).alias("_h"))
         moved = model.items.join(gaps, ["model", "item"], "left").na.fill(0.0)
-        d = F.col("d") - F.col("_g") / (F.col("_n") / 4 + 1e-9)
+        d = F.col("d") - _kept(F.col("_g") / (F.col("_h") + 1e-9))
         model = Model(cut_lineage(moved.select(*[c for c in model.items.columns if c != "d"], d.alias("d"))),
                       model.takers, k)
         scored = model_scores(cells, model)
@@ -319,10 +350,16 @@ def fit_penalised(cells: DataFrame, takers: DataFrame, masks: DataFrame, k: int,
         areas = stats.auc(scored.withColumn("score", F.round("score", 9)), groups=["split"])
         pick = [F.max(F.when(F.col("split") == s, F.col(v))).alias(n_) for s, v, n_ in
                 (("train", "loss", "train_loss"), ("test", "loss", "test_loss"), ("test", "auc", "test_auc"))]
-        row = (loss.join(areas, "split").agg(*pick).withColumn("epoch", F.lit(epoch))
-               .withColumn("penalty", F.lit(float(weight * _penalty(model)[2]))))
+        gradient, bound, penalty, mean = _penalty(model)
+        row = cut_lineage(loss.join(areas, "split").agg(*pick).withColumn("epoch", F.lit(epoch))
+                          .withColumn("penalty", F.lit(float(weight * penalty)))
+                          .withColumn("train_loss", F.col("train_loss") + F.col("penalty")))
         history = row if history is None else history.unionByName(row)
-    return model, history.withColumn("train_loss", F.col("train_loss") + F.col("penalty"))
+        now = row.first()["train_loss"]
+        if now is None or abs(now - before) <= tolerance * abs(now):
+            return model, history
+        before = now
+    raise RuntimeError(f"the loss has not settled after {MOST_ROUNDS} epochs")
 
 
 def _penalty(model: Model) -> tuple[np.ndarray, float, float, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,8 +21,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str,
             .option("multiLine", multiline).schema(schema).csv(path))
 
 
+def _by_number(path: Column) -> Column:
+    """The path with every number filled up to 20 digits, so that part 100000 comes
+    after part 99999."""
+    wide = F.regexp_replace(path, "([0-9]+)", "0" * 20 + "$1")
+    return F.regexp_replace(wide, "0*([0-9]{20})(?![0-9])", "$1")
+
+
 def numbered_lines(lines: DataFrame) -> DataFrame:
-    """Add ``position``: the 0-based line number over all files in name order.
+    """Add ``position``: the 0-based line number over all files, in the order
+    of their names with numbers taken as numbers.
 
     A file split is read in order by one task, so the row number inside a split is
     the difference of two increasing ids; splits are placed by their line counts.
@@ -32,7 +40,8 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
                           F.monotonically_increasing_id().alias("_id"))
     splits = tagged.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_lines"),
                                                    F.min("_id").alias("_first"))
-    earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (Window.orderBy(_by_number(F.col("_file")), "_file", "_start")
+               .rowsBetween(Window.unboundedPreceding, -1))
     placed = splits.select("_file", "_start", "_first",      # one row per file split
                            F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
     return (tagged.join(placed, ["_file", "_start"])

@@ -33,7 +33,7 @@ def test_easiness_of_known_means(spark):
 
 def test_one_parameter_model_maximises_each_taker(spark, cells):
     y, table = cells
-    items, takers = irt.fit_one_parameter(table, rounds=12)
+    items, takers = irt.fit_one_parameter(table)
     z = items.orderBy("item").toPandas().z.values
     theta = takers.orderBy("taker").toPandas().theta.values
     p = 1 / (1 + np.exp(-(theta[:, None] + z[None, :])))
@@ -69,7 +69,7 @@ def test_confirmatory_model_recovers_skills(spark, factor_cells):
 def test_free_abilities_may_be_negative(spark, factor_cells):
     _, table, qmatrix, takers, _ = factor_cells
     masks = irt.qmatrix_masks(qmatrix, ["s0", "s1", "s2", "s3"])
-    model = irt.fit_joint(table, takers, masks, 4, 2, None)
+    model = irt.fit_joint(table, takers, masks, 4, 1e-2, None)
     assert model.takers.toPandas()[vectors.dims("t", 4)].values.min() < 0
 
 
@@ -86,7 +86,7 @@ def test_exploratory_sweep_shares_passes(spark, factor_cells):
     _, table, _, takers, items = factor_cells
     cells = sample.bernoulli_split(table)
     train = cells.filter("split = 'train'").select("taker", "item", "y")
-    model = irt.fit_exploratory(train, items, takers, [2, 4], 6, 2)
+    model = irt.fit_exploratory(train, items, takers, [2, 4], 1e-3)
     assert model.items.count() == 400 and model.takers.count() == 240
     small = model.items.filter("model = 2").toPandas()
     assert (small[["a3", "a4"]].values == 0).all() and (small[["a1", "a2"]].values >= 0).all()
@@ -103,7 +103,7 @@ def test_penalised_model_learns(spark, factor_cells):
     _, table, qmatrix, takers, _ = factor_cells
     cells = sample.bernoulli_split(table)
     masks = irt.qmatrix_masks(qmatrix, ["s0", "s1", "s2", "s3"])
-    model, history = irt.fit_penalised(cells, takers, masks, 4, 4)
+    model, history = irt.fit_penalised(cells, takers, masks, 4)
     h = history.orderBy("epoch").toPandas()
     assert h.train_loss.is_monotonic_decreasing and h.test_auc.iloc[-1] > h.test_auc.iloc[0]
     _, _, value, _ = irt._penalty(model)
