@@ -19,21 +19,28 @@ def combine(spark, folder):
 
 
 @query("e2_lookup_default", sql="""
-    SELECT d.doc_id, COALESCE(l.scenario, 'unknown') AS scenario
-    FROM (SELECT doc_id, SPLIT_PART(text, chr(10), 1) AS head FROM documents) d
-    LEFT JOIN (SELECT input_text, ARG_MIN(scenario, item) AS scenario FROM items GROUP BY input_text) l
-      ON l.input_text = d.head
+    SELECT d.doc_id, COALESCE(l.source, 'unknown') AS scenario FROM documents d
+    LEFT JOIN (SELECT text, ARG_MIN(source, doc_id) AS source FROM documents WHERE lang = 'en' GROUP BY text) l
+      ON l.text = d.text
     UNION ALL
     SELECT -1 - i.item, l.scenario FROM items i
     JOIN (SELECT input_text, ARG_MIN(scenario, item) AS scenario FROM items GROUP BY input_text) l
       ON l.input_text = i.input_text""")
 def lookup_default(spark, folder):
+    """Whole texts: the source of the first English copy of a document, and the scenario
+    of the first item with an item's text."""
     items = inputs.study(spark, folder).items
-    heads = spark.read.parquet(f"{folder}/documents.parquet").select(
-        "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("input_text"))
-    keys = heads.unionByName(items.select((-1 - F.col("item")).alias("doc_id"), "input_text"))
-    return reshape.lookup_first(keys, items, "input_text", "scenario", "item", "unknown").select(
-        "doc_id", "scenario")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(
+        "doc_id", "lang", F.col("text").alias("input_text"), F.col("source").alias("scenario"))
+    own = items.select((-1 - F.col("item")).alias("doc_id"), "input_text")
+    parts = [reshape.lookup_first(docs.select("doc_id", "input_text"), docs.where("lang = 'en'"),
+                                  "input_text", "scenario", "doc_id", "unknown"),
+             reshape.lookup_first(own, items, "input_text", "scenario", "item", "unknown")]
+    return parts[0].select("doc_id", "scenario").unionByName(parts[1].select("doc_id", "scenario"))
+
+
+def squares(vector):
+    return F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)
 
 
 def text_vectors(spark, folder):
@@ -50,19 +57,19 @@ TEXT_SQL = """
 
 
 @query("e3_text_vectors", extra=TEXT_SQL, sql="""
-    SELECT i.item, t.source, round(CAST(t.embedding[1] AS DOUBLE), 6) + 0.0 AS head
+    SELECT i.item, t.source, round(list_sum(list_transform(t.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) + 0.0 AS squares
     FROM items i LEFT JOIN by_text t ON t.input_text = i.input_text""")
 def vectors_by_text(spark, folder):
     table = text_vectors(spark, folder).withColumn("pair", F.struct("item", "embedding"))
     once = reshape.lookup_last(table, "input_text", "pair", "item")
     return (inputs.study(spark, folder).items.join(once, "input_text", "left")
             .select("item", F.col("pair.item").alias("source"),
-                    fixed(F.col("pair.embedding")[0]).alias("head")))
+                    fixed(squares(F.col("pair.embedding"))).alias("squares")))
 
 
 @query("d7_missing_vectors", sql="""
     SELECT i.item, COALESCE(LEN(e.embedding), 64) AS width,
-           round(COALESCE(CAST(e.embedding[1] AS DOUBLE), 0), 6) + 0.0 AS head, e.vec_id IS NULL AS absent
+           round(COALESCE(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 0), 6) + 0.0 AS squares, e.vec_id IS NULL AS absent
     FROM items i LEFT JOIN embeddings e ON e.vec_id = i.item""")
 def missing_vectors(spark, folder):
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select(
@@ -70,7 +77,7 @@ def missing_vectors(spark, folder):
     width = vectors.agg(F.max(F.size("v"))).scalar()
     filled = F.coalesce("v", F.array_repeat(F.lit(0.0), width))
     return (inputs.study(spark, folder).items.select("item").join(vectors, "item", "left")
-            .select("item", F.size(filled).alias("width"), fixed(filled[0]).alias("head"),
+            .select("item", F.size(filled).alias("width"), fixed(F.coalesce(squares(F.col("v")), F.lit(0.0))).alias("squares"),
                     F.col("v").isNull().alias("absent")))
 
 

@@ -259,6 +259,12 @@ def silhouettes(spark, folder):
     return cluster.silhouettes(items, vectors.dims("f", K), range(2, 10))
 
 
+@query("j25_best_count")
+def best_cluster_count(spark, folder):
+    """The number of clusters with the largest silhouette."""
+    return cluster.best_count(silhouettes(spark, folder))
+
+
 @query("j25_label_silhouette", extra="""
     points AS (SELECT l.item, e.label AS c, l.factor, l.loading AS x FROM loadings l
                JOIN embeddings e ON e.vec_id = l.item),

@@ -29,7 +29,8 @@ def numeric(spark, folder):
     SELECT i.item, REPLACE(i.input_text, ' ', '_') AS underscored, LOWER(benchmark) AS lower, t.title,
            CONTAINS(i.scenario, 'legal') AS has_legal, STARTS_WITH(benchmark, 'Brand#1') AS starts,
            SPLIT_PART(benchmark, '#', 2) AS part, SUBSTR(i.input_text, 1, 5) AS head,
-           FORMAT('{:.3f}', i.item / 8e0) AS shown
+           FORMAT('{:.3f}', i.item / 8e0) AS shown, printf('%.1f%%', i.item / 7e0) AS percent,
+           FORMAT('{:,}', i.item * 1000) AS thousands
     FROM named_items i JOIN titles t ON t.scenario = i.scenario""")
 def text(spark, folder):
     return inputs.named_items(spark, folder).select(
@@ -39,7 +40,9 @@ def text(spark, folder):
         F.startswith("benchmark", F.lit("Brand#1")).alias("starts"),
         F.split_part("benchmark", F.lit("#"), F.lit(2)).alias("part"),
         F.substring("input_text", 1, 5).alias("head"),
-        F.format_string("%.3f", F.col("item") / 8).alias("shown"))
+        F.format_string("%.3f", F.col("item") / 8).alias("shown"),
+        F.format_string("%.1f%%", F.col("item") / 7).alias("percent"),
+        F.format_string("%,d", F.col("item") * 1000).alias("thousands"))
 
 
 @query("m_array_functions", sql="""

@@ -172,16 +172,10 @@ def item_master(spark, folder):
 
 
 @query("b17_component_tag", sql="""
-    SELECT item, CONCAT('PC_', scenario) AS component FROM named_items WHERE scenario <> 'not_listed'""")
+    SELECT item, CONCAT('PC_', scenario) AS component FROM named_items""")
 def component_tag(spark, folder):
-    items = inputs.named_items(spark, folder)
-    parts = [items.filter(F.col("scenario") == s)
-             .select("item", F.lit(f"PC_{s}").alias("component")) for s in COMPONENTS
-             if s != "not_listed"]
-    tagged = parts[0]
-    for part in parts[1:]:
-        tagged = tagged.unionByName(part)
-    return tagged
+    return inputs.named_items(spark, folder).select(
+        "item", F.concat(F.lit("PC_"), "scenario").alias("component"))
 
 
 @query("b18_select_columns", sql="""
@@ -244,11 +238,13 @@ def label_runs(spark, folder):
 @query("b25_level_profile", sql="""
     SELECT COUNT(DISTINCT input_text) AS n_input_text, COUNT(DISTINCT scenario) AS n_scenario,
            COUNT(DISTINCT benchmark) AS n_benchmark,
-           (SELECT STRING_AGG(scenario, ',' ORDER BY scenario)
+           (SELECT CASE WHEN COUNT(*) <= 10 THEN STRING_AGG(scenario, ',' ORDER BY scenario) END
             FROM (SELECT DISTINCT scenario FROM items)) AS scenarios
     FROM items""")
 def level_profile(spark, folder):
     items = inputs.study(spark, folder).items
-    names = items.agg(F.array_join(F.array_sort(F.collect_set("scenario")), ",")).scalar()
+    few = items.select("scenario").distinct().limit(11)         # listed only when it is a short list
+    listed = F.array_join(F.array_sort(F.collect_list("scenario")), ",")
+    names = few.agg(F.when(F.count(F.lit(1)) <= 10, listed)).scalar()
     return (reshape.level_profile(items, ["input_text", "scenario", "benchmark"])
             .withColumn("scenarios", names))

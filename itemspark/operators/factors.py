@@ -73,6 +73,13 @@ def squared_multiple(matrix: np.ndarray) -> np.ndarray:
 def minres(matrix: np.ndarray, k: int, rounds: int = 500, tolerance: float = 1e-6) -> np.ndarray:
     """Least-squares factor loadings: alternate eigenvectors and communalities until
     the communalities stand still (the fixed point minimises the residuals)."""
+    return settled_minres(matrix, k, rounds, tolerance)[0]
+
+
+def settled_minres(matrix: np.ndarray, k: int, rounds: int = 500, tolerance: float = 1e-6
+                   ) -> tuple[np.ndarray, bool]:
+    """``minres`` and whether the communalities came to a stand within ``rounds``."""
+    settled = False
     h = squared_multiple(matrix)
     reduced = matrix.copy()
     for _ in range(rounds):
@@ -81,11 +88,12 @@ def minres(matrix: np.ndarray, k: int, rounds: int = 500, tolerance: float = 1e-
         order = np.argsort(values)[::-1][:k]
         loadings = vectors[:, order] * np.sqrt(np.maximum(values[order], 0.0))
         new = np.clip((loadings ** 2).sum(1), 0.0, 0.995)
-        if np.abs(new - h).max() < tolerance:
+        settled = bool(np.abs(new - h).max() < tolerance)
+        if settled:
             break
         h = new
     lead = loadings[np.abs(loadings).argmax(0), range(loadings.shape[1])]
-    return loadings * np.where(lead < 0, -1.0, 1.0)
+    return loadings * np.where(lead < 0, -1.0, 1.0), settled
 
 
 def _varimax_rotation(fourth: np.ndarray, second: np.ndarray, n: int, rounds: int = 500,
@@ -249,17 +257,22 @@ def bartlett(matrix: np.ndarray, n: int) -> tuple[float | None, float | None, st
 
 def compare_factor_counts(spark: SparkSession, matrix: np.ndarray, most: int = 50) -> DataFrame:
     """Explained variance for 1..``most`` factors, one Spark task per count; the matrix
-    (checked size) travels with the function."""
+    (checked size) is broadcast.  ``fit_possible`` is false, and the variance null, for a
+    count whose fit fails or does not settle."""
     eigen = np.sort(np.linalg.eigvalsh(matrix))[::-1]
+    shared = spark.sparkContext.broadcast(matrix)
     counts = spark.createDataFrame([(k,) for k in range(1, min(most, len(matrix)) + 1)],
                                    "n_factors int")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["n_factors"].iloc[0])
-        loadings = minres(matrix, k, rounds=100, tolerance=1e-4)
-        shares = (loadings ** 2).sum(0) / len(matrix)
-        return pd.DataFrame({"n_factors": [k], "total_variance": [shares.sum()],
-                             "eigenvalue_sum": [eigen[:k].sum()], "fit_possible": [True]})
+        k, own = int(pdf["n_factors"].iloc[0]), shared.value
+        try:
+            loadings, settled = settled_minres(own, k)
+        except np.linalg.LinAlgError:
+            loadings, settled = None, False
+        total = float((loadings ** 2).sum() / len(own)) if settled else None
+        return pd.DataFrame({"n_factors": [k], "total_variance": pd.Series([total], dtype="float64"),
+                             "eigenvalue_sum": [eigen[:k].sum()], "fit_possible": [settled]})
     return counts.repartition("n_factors").groupBy("n_factors").applyInPandas(
         solve, "n_factors int, total_variance double, eigenvalue_sum double, fit_possible boolean")
 

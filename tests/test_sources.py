@@ -82,3 +82,18 @@ def test_shared_folder_without_the_setting():
     with pytest.raises(RuntimeError):
         session.shared_folder(FakeContext("spark://host:7077"))
     assert session.shared_folder(FakeContext("yarn", "hdfs:///shared")) == "hdfs:///shared"
+
+
+def test_line_numbers_follow_part_numbers(spark, tmp_path):
+    """Part 100000 comes after part 99999."""
+    for name, lines in (("part-99999", "0\n1\n"), ("part-100000", "2\n3\n")):
+        (tmp_path / f"{name}-a1b2.txt").write_text(lines)
+    got = readers.numbered_lines(spark.read.text(str(tmp_path))).collect()
+    assert {r["position"]: r["value"] for r in got} == {i: str(i) for i in range(4)}
+
+
+def test_title_words(spark):
+    from itemspark.functions.scalars import title_words
+    labels = ["gsm8k", "math-algebra", "dyck_language", "MMLU", "", "a'b c", None]
+    got = spark.createDataFrame([(x,) for x in labels], "x string").select(title_words(F.col("x"))).collect()
+    assert [r[0] for r in got] == [None if x is None else x.replace("_", " ").title() for x in labels]
