@@ -171,7 +171,9 @@ def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """
     raw = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text_bytes"))
     anchors = cut_lineage(anchor_rows(raw, match), "anchors")
-    often = anchors.groupBy("gram").count().where("count > 1").select("gram")
+    # counts are stored before they are joined: only a join of two plain shuffles can be
+    # split by Spark where one gram has very many rows
+    often = cut_lineage(anchors.groupBy("gram").count().where("count > 1").select("gram"), "often")
     shared = cut_lineage(anchors.join(often, "gram"), "shared")
 
     contexts = cut_lineage(shared.groupBy("gram", "context").agg(
@@ -179,7 +181,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
     whole = (shared.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"])
              .select("text_key", (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end")))
 
-    several = contexts.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = cut_lineage(contexts.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
     open_ = cut_lineage(contexts.join(several, "gram").select(
         "gram", "context", "contexts", (F.col("n") == 1).alias("alone"), "at.*"), "open")
     n_open = open_.count()
