@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from itemspark.llm.registry import query, table
+from itemspark.llm.tasks import releasing, values
 
 SLOTS = 1 << 14
 TRAIN_ROWS = 3000           # labelled texts that the fit uses, about, over all languages
@@ -74,13 +75,12 @@ def training_rows(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            bits = [np.packbits(presence([t])[0] > 0).tobytes() for t in texts]
+            bits = [np.packbits(presence([t])[0] > 0).tobytes() for t in values(batch.column("text"))]
             yield pa.record_batch({"label": batch.column("label"), "bits": pa.array(bits, pa.binary())})
 
     found = sorted((r["label"], bytes(r["bits"])) for r in
                    chosen.select(F.col(label).alias("label"), "text")
-                   .mapInArrow(run, "label string, bits binary").limit(2 * rows).collect())
+                   .mapInArrow(releasing(run), "label string, bits binary").limit(2 * rows).collect())
     return np.frombuffer(b"".join(b for _, b in found), "u1").reshape(-1, SLOTS // 8), [v for v, _ in found]
 
 
@@ -97,21 +97,20 @@ def predict(docs: DataFrame, languages: list[str], weights: np.ndarray) -> DataF
     def run(batches):
         names, matrix = model.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            told, score = [NONE] * len(texts), np.zeros(len(texts))
-            with_letter = [i for i, t in enumerate(texts) if t and names and any(map(str.isalpha, t))]
-            for a in range(0, len(with_letter), BATCH):
-                rows = with_letter[a:a + BATCH]
-                values = presence([texts[i] for i in rows]) @ matrix
-                best = values.argmax(axis=1)
-                score[rows] = np.clip((1 + values.max(axis=1)) / 2, 0, 1)
-                for i, b in zip(rows, best.tolist()):
-                    told[i] = names[b]
+            told, score = [NONE] * batch.num_rows, np.zeros(batch.num_rows)
+            for a in range(0, batch.num_rows, BATCH):
+                texts = batch.column(at).slice(a, BATCH).to_pylist()
+                rows = [i for i, t in enumerate(texts) if t and names and any(map(str.isalpha, t))]
+                if rows:
+                    fit_of = presence([texts[i] for i in rows]) @ matrix
+                    score[[a + i for i in rows]] = np.clip((1 + fit_of.max(axis=1)) / 2, 0, 1)
+                    for i, b in zip(rows, fit_of.argmax(axis=1).tolist()):
+                        told[a + i] = names[b]
             yield pa.record_batch([*batch.columns, pa.array(told, pa.string()), pa.array(score, pa.float64())],
                                   names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def held_out():

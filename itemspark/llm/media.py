@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemspark.llm.registry import query, table
+from itemspark.llm.tasks import releasing, values
 
 FRAME = 64                  # bytes of a frame: 8 x 8 samples of 8 bits
 FRAMES_PER_CHUNK = 64
@@ -162,10 +163,10 @@ def wrap(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            media = pa.array([mux(x) for x in batch.column("media").to_pylist()], pa.binary())
+            media = pa.array([mux(x) for x in values(batch.column("media"))], pa.binary())
             yield pa.record_batch([*batch.columns[:-1], media], names=batch.schema.names)
 
-    return stored.mapInArrow(run, stored.schema)
+    return stored.mapInArrow(releasing(run), stored.schema)
 
 
 PROBED = ("codec string, timescale long, duration long, n_samples long, stored_length long, "
@@ -196,13 +197,13 @@ def probe(files: DataFrame, payload: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [facts(x) for x in batch.column("media").to_pylist()]
+            rows = [facts(x) for x in values(batch.column("media"))]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.record_batch([*batch.columns[:-1], *columns], names=[*rest, *names])
 
     shape = files.select(*rest, F.col("media"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.drop("media").schema), PROBED])
-    return shape.mapInArrow(run, schema)
+    return shape.mapInArrow(releasing(run), schema)
 
 
 def tail_crc32(payload: DataFrame) -> DataFrame:

@@ -13,13 +13,15 @@ import bisect
 import os
 import struct
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemspark.llm.registry import query, table
+from itemspark.llm.tasks import releasing, values
 from itemspark.session import cut_lineage
 
 CAPACITY = 4096
@@ -192,7 +194,7 @@ def word_ids(path: str):
     return encode
 
 
-def batches_of(texts: list[str], chars: int = 1 << 19):
+def batches_of(texts: Iterable[str], chars: int = 1 << 19):
     """Consecutive texts of about ``chars`` signs together, at least one."""
     part, size = [], 0
     for t in texts:
@@ -214,20 +216,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids:
     """
     kind = dict(docs.dtypes)["doc_id"]
 
-    def run(frames):
+    def run(batches):
         encode, end = word_ids(tokenizer), struct.pack("<I", END_ID)
-        for frame in frames:
-            rows = []
-            encoded = (x for part in batches_of(frame["text"].tolist()) for x in encode(part))
-            for doc, ids_of in zip(frame["doc_id"], encoded):
+        for batch in batches:
+            rows, doc_at = [], []
+            encoded = (x for part in batches_of(values(batch.column("text"))) for x in encode(part))
+            for place, ids_of in enumerate(encoded):
                 data = ids_of + end
                 for i, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at:at + 4 * capacity]
-                    rows.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"]).astype({"doc_id": frame["doc_id"].dtype})
-
-    pieces = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+                    rows.append((i, at // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
+                    doc_at.append(place)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(doc_at, pa.int64())),
+                                   *(pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds))],
+                                  names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+
+    pieces = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+        releasing(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
     return pieces if ids else pieces.drop("ids")
 
 

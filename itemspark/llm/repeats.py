@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from itemspark.llm.registry import query, table
+from itemspark.llm.tasks import give_back, releasing, values
 from itemspark.session import cut_lineage
 
 MATCH = 400                 # bytes of the shortest repeated string
@@ -97,7 +98,7 @@ def anchor_rows(raw: DataFrame, match: int = MATCH) -> DataFrame:
         finder, reach = Anchors(match), match - GRAM
         for batch in batches:
             keys, counts, cols = [], [], [[], [], [], [], []]
-            for data in batch.column("text_bytes").to_pylist():
+            for data in values(batch.column("text_bytes")):
                 if len(data) < match:
                     continue
                 place, gram = finder.find(data)
@@ -106,8 +107,8 @@ def anchor_rows(raw: DataFrame, match: int = MATCH) -> DataFrame:
                                        zip(place.tolist(), back.tolist(), ahead.tolist())), "u8", len(place))
                 keys.append(hashlib.md5(data).digest())
                 counts.append(len(place))
-                for col, values in zip(cols, (place, back, ahead, gram.view("i8"), context.view("i8"))):
-                    col.append(values)
+                for col, own in zip(cols, (place, back, ahead, gram.view("i8"), context.view("i8"))):
+                    col.append(own)
             if keys:
                 at = pa.array(np.repeat(np.arange(len(keys)), counts))
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
@@ -115,7 +116,7 @@ def anchor_rows(raw: DataFrame, match: int = MATCH) -> DataFrame:
                                        *(pa.array(np.concatenate(c).astype("i8")).cast(k) for c, k in zip(cols, kinds))],
                                       names=["text_key", "place", "back", "ahead", "gram", "context"])
 
-    return raw.mapInArrow(run, "text_key binary, place long, back int, ahead int, gram long, context long")
+    return raw.mapInArrow(releasing(run), "text_key binary, place long, back int, ahead int, gram long, context long")
 
 
 def common_runs(segments: list[bytes], backs: list[int], match: int = MATCH):
@@ -196,7 +197,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
                  "batch", "block", "gram", "context", "alone", "place", "back", "ahead")).alias("wanted")))
 
     segments = (once_per_task(raw).join(dealt, "text_key").mapInArrow(
-        cut_segments, "batch long, block long, gram long, context long, alone boolean, text_key binary, place long, back int, segment binary"))
+        releasing(cut_segments), "batch long, block long, gram long, context long, alone boolean, text_key binary, place long, back int, segment binary"))
     partly = segments.groupBy("batch", "block").applyInArrow(
         lambda group: matched(group, match), "text_key binary, start long, end long")
     return (whole.unionByName(partly).groupBy("text_key")
@@ -204,26 +205,33 @@ def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
 
 
 def once_per_task(raw: DataFrame) -> DataFrame:
-    """text_key and text_bytes; a text comes at most once from each task, so that many
-    copies don't meet in one."""
+    """text_key and packed (the text, compressed for the shuffle); a text comes at most
+    once from each task, so that many copies don't meet in one."""
     def run(batches):
-        seen = set()
+        from zstandard import ZstdCompressor
+        seen, pack = set(), ZstdCompressor(level=3).compress
         for batch in batches:
-            data = batch.column("text_bytes")
-            keys = [hashlib.md5(x).digest() for x in data.to_pylist()]
-            new = [k not in seen and not seen.add(k) for k in keys]
-            out = pa.record_batch({"text_key": pa.array(keys, pa.binary()), "text_bytes": data})
-            yield out.filter(pa.array(new, pa.bool_()))
+            keys, packed = [], []
+            for data in values(batch.column("text_bytes")):
+                key = hashlib.md5(data).digest()
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    packed.append(pack(data))
+            yield pa.record_batch({"text_key": pa.array(keys, pa.binary()), "packed": pa.array(packed, pa.binary())})
 
-    return raw.mapInArrow(run, "text_key binary, text_bytes binary")
+    return raw.mapInArrow(releasing(run), "text_key binary, packed binary")
 
 
 def cut_segments(batches):
+    from zstandard import ZstdDecompressor
+    unpack = ZstdDecompressor().decompress
     names = ["batch", "block", "gram", "context", "alone", "text_key", "place", "back", "segment"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
     for batch in batches:
         rows = []
-        for key, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("text_key", "text_bytes", "wanted"))):
+        for key, packed, wanted in zip(*(values(batch.column(c)) for c in ("text_key", "packed", "wanted"))):
+            data = unpack(packed)
             rows += [(w["batch"], w["block"], w["gram"], w["context"], w["alone"], key, w["place"], w["back"],
                       data[w["place"] - w["back"]:w["place"] + w["ahead"]]) for w in wanted]
         yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
@@ -238,8 +246,10 @@ def matched(group: pa.Table, match: int) -> pa.Table:
     alone = group.column("alone").to_numpy(zero_copy_only=False)[row]       # the others are covered as a whole
     row, start, end = row[alone], start[alone], end[alone]
     place = group.column("place").to_numpy()[row]
-    return pa.table({"text_key": group.column("text_key").take(pa.array(row)),
-                     "start": pa.array(place + start, pa.int64()), "end": pa.array(place + end, pa.int64())})
+    found = pa.table({"text_key": group.column("text_key").take(pa.array(row)),
+                      "start": pa.array(place + start, pa.int64()), "end": pa.array(place + end, pa.int64())})
+    give_back()
+    return found
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -274,7 +284,7 @@ def without_repeats(docs: DataFrame, match: int = MATCH, as_text: bool = False)
     def run(batches):
         for batch in batches:
             removed, kept = [], []
-            for text, found in zip(batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist()):
+            for text, found in zip(values(batch.column(text_at)), values(batch.column(spans_at))):
                 data, gone = (text or "").encode(), merged(found)
                 edges = [0, *(x for span in gone for x in span), len(data)]
                 parts = [data[a:b] for a, b in zip(edges[::2], edges[1::2])]
@@ -285,7 +295,7 @@ def without_repeats(docs: DataFrame, match: int = MATCH, as_text: bool = False)
 
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(
         f"removed array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}").fields])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(releasing(run), schema)
 
 
 @query("op5_repeats")

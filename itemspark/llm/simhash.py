@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from itemspark.llm.components import components
 from itemspark.llm.registry import query, table
+from itemspark.llm.tasks import releasing, values
 from itemspark.session import cut_lineage
 
 MOST_BITS = 4
@@ -69,10 +70,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fp = [fingerprint(t or "", shingle) for t in batch.column("text").to_pylist()]
+            fp = [fingerprint(t or "", shingle) for t in values(batch.column("text"))]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(fp, pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), f"doc_id {kind}, fp long")
 
 
 def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -186,7 +187,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return (dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(releasing(run), "a long, b long"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
