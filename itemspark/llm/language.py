@@ -63,7 +63,7 @@ def fit(bits: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray]:
 
 def training_rows(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, list[str]]:
     """Packed presence and labels of about ``rows`` rows with text and label, as many of
-    each label as there are, chosen by a hash of the whole row."""
+    each label as there are, chosen by a hash of id and text; never more than twice as many."""
     own = docs.where(F.col(label).isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r[label]: r["count"] for r in own.groupBy(label).count().collect()}     # one row per language
     if not counts:
