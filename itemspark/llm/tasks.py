@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,6 +20,15 @@ def values(column: pa.Array) -> Iterator:
         yield from column.slice(at, SLICE_ROWS).to_pylist()
 
 
+def remembered(key, make: Callable[[], object]):
+    """An object that lives as long as the Python worker, for the tasks after this one;
+    a new one is made for each ``key``, which must name all that it depends on."""
+    store = sys.modules.setdefault("itemspark_worker_objects", types.ModuleType("itemspark_worker_objects")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def give_back() -> None:
     """Return memory that is free again to the system."""
     gc.collect()
