@@ -2,6 +2,6 @@
 
 from itemspark.llm.registry import ORACLES, QUERIES
 
-from itemspark.llm import (chat, language, media, mixing, packing, periodic, repeats, shards, simhash, tokenfile, topk, warc)  # noqa: F401
+from itemspark.llm import (audit, chat, language, media, mixing, packing, periodic, repeats, shards, simhash, tokenfile, topk, warc)  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
