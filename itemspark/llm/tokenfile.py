@@ -16,6 +16,7 @@ a file per row and ends it with a line feed, which the reader ignores.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 from collections.abc import Callable, Iterable
@@ -31,13 +32,13 @@ from itemspark.llm.tasks import releasing, remembered, values
 from itemspark.session import cut_lineage, staging_path
 
 BLOCK = 256                 # ids of a block
+SLAB = 1024 * BLOCK         # ids that are packed at once
 LANES = 32                  # a word's bits; 32 differences fill ``width`` words
 SHARE = 0.95                # of a block's differences fit its width
 FILE_IDS = 1 << 23          # a file ends with the document that reaches so many ids
 END_ID = 0
-CACHED_WORDS = 800_000      # words whose ids a Python worker remembers, about
+CACHED_WORDS = 700_000      # words whose ids a Python worker remembers, about
 CACHED_CHARS = 64           # longer words are encoded each time
-MARKS = ".,;:!?"
 HEAD = "<4sIIIQII"           # magic, part, place in the part, documents, ids, words, exceptions
 MAGIC = b"TIDS"
 READ_IDS = 1 << 20          # ids that the reader hands on at once
@@ -46,7 +47,16 @@ READ_IDS = 1 << 20          # ids that the reader hands on at once
 # --- blocks ----------------------------------------------------------------
 
 def packed(ids: np.ndarray, share: float = SHARE) -> dict[str, np.ndarray]:
-    """The blocks of a sequence of ids (u4) and their index."""
+    """The blocks of a sequence of ids (u4) and their index; made a slab at a time."""
+    slabs = [_packed(ids[at:at + SLAB], share) for at in range(0, max(1, len(ids)), SLAB)]
+    out = {k: np.concatenate([s[k] for s in slabs]) for k in ("least", "width", "words", "high", "where")}
+    for k in ("word_start", "high_start"):
+        ends = np.cumsum([s[k][-1] for s in slabs])
+        out[k] = np.concatenate([slabs[0][k], *(s[k][1:] + end for s, end in zip(slabs[1:], ends))])
+    return out
+
+
+def _packed(ids: np.ndarray, share: float) -> dict[str, np.ndarray]:
     n = -(-len(ids) // BLOCK)
     grid = np.empty(n * BLOCK, "u4")
     grid[:len(ids)] = ids
@@ -226,10 +236,9 @@ def word_encoder(path: str):
 
     Such a tokenizer cuts a text before each blank that follows another character, so
     where blanks are single, a text's ids are those of its words in turn, each with the
-    blank before it.  Words of Latin letters are cut from the marks behind them too.
-    Each word is encoded once as long as it is remembered, and all new ones in one call:
-    a token that starts with a blank starts a word.  Texts with tabs or several blanks
-    in a row are encoded as they are.
+    blank before it.  Each word is encoded once as long as it is remembered, and all new
+    ones in one call: a token that starts with a blank starts a word.  Texts with tabs
+    or several blanks in a row are encoded as they are.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
@@ -240,64 +249,56 @@ def word_encoder(path: str):
     vocabulary = tokenizer.get_vocab()
     starts = np.zeros(max(vocabulary.values()) + 1, bool)
     starts[[i for token, i in vocabulary.items() if token[:1] in ("Ġ", "Ċ")]] = True  # space, line feed
-    tails: dict[str, bytes] = {"": b""}
 
     def plainly(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spelled(words: list[str]) -> list[bytes]:
-        """The ids of words that begin with a blank and have no other."""
-        ids = np.array(tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    def ids_of(words: list[str]) -> dict[str, bytes | None]:
+        """The ids of words that aren't known; null for what doesn't stand between
+        single blanks."""
+        found: dict[str, bytes | None] = {}
+        bare = [w.removeprefix("\n") for w in words]
+        if " ".join(bare).split() != bare:
+            found = {w: None for w, b in zip(words, bare) if b.split() != [b]}
+            words = [w for w in words if w not in found]
+        spelled = [w if w[0] == "\n" else " " + w for w in words]
+        ids = np.array(tokenizer.encode_batch_fast(["".join(spelled)], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(starts[ids])
-        if len(at) != len(words):
-            return plainly(words)
-        data, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def learn(words: list[str]) -> list[str]:
-        """Note the words' ids; gives the stems that were noted besides."""
-        stems: dict[str, str] = {}
-        for w in words:
-            bare = w[1:] if w[:1] == "\n" else w
-            if not bare or bare.split() != [bare]:
-                known[w] = None                                 # not a word between single blanks
-                continue
-            stem = bare.rstrip(MARKS)
-            if not stem.isalpha() or max(stem) > "\u00ff" or len(bare) - len(stem) > CACHED_CHARS:
-                stem = bare
-            stems[w] = w[:len(w) - len(bare) + len(stem)]
-            tail = bare[len(stem):]
-            if tail not in tails:
-                tails[tail] = plainly([tail])[0]
-        new = [s for s in set(stems.values()) if known.get(s) is None]
-        if new:
-            known.update(zip(new, spelled([s if s[0] == "\n" else " " + s for s in new])))
-        for w, stem in stems.items():
-            if w != stem:
-                known[w] = known[stem] + tails[w[len(stem):]]
-        return new
+        if len(at) == len(words):
+            data, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            found.update((w, data[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+        else:
+            found.update(zip(words, plainly(spelled)))
+        return found
 
     def encode(texts: list[str]) -> list[bytes]:
+        gc.disable()                            # many small objects, none in a cycle
+        try:
+            return _encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(texts: list[str]) -> list[bytes]:
         if len(known) > CACHED_WORDS:
             known.clear()
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
         first = [p.pop(0) for p in parts]
-        new = set().union(*parts) - known.keys()
-        new |= set(learn(list(new)))
-        begin, ids = plainly(first), []
-        for text, head, raw, words in zip(texts, first, begin, parts):
-            found = list(map(known.__getitem__, words))
-            plain = None in found or words and head and head.split() != [head]
-            ids.append(plainly([text])[0] if plain else raw + b"".join(found))
-        for w in new:
-            if len(w) > CACHED_CHARS:
-                del known[w]
-        return ids
+        found = [list(map(known.get, words)) for words in parts]
+        missing = set()
+        for words, ids in zip(parts, found):
+            missing.update([w for w, x in zip(words, ids) if x is None])
+        here, out = ids_of(list(missing)), []
+        for text, head, raw, words, ids in zip(texts, first, plainly(first), parts, found):
+            ids = [here[w] if x is None else x for w, x in zip(words, ids)]
+            plain = None in ids or words and head and head.split() != [head]
+            out.append(plainly([text])[0] if plain else raw + b"".join(ids))
+        known.update((w, ids) for w, ids in here.items() if ids is not None and len(w) <= CACHED_CHARS)
+        return out
 
     return encode
 
 
-def text_ids(path: str, end_id: int = END_ID, chars: int = 1 << 20):
+def text_ids(path: str, end_id: int = END_ID, chars: int = 1 << 21):
     """For write_ids: the ids of texts by the tokenizer file ``path``, and ``end_id``."""
     def encode(texts: Iterable[str]):
         ids_of, end, part, size = remembered(("ids", path), lambda: word_encoder(path)), struct.pack("<I", end_id), [], 0
