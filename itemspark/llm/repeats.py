@@ -18,16 +18,17 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from itemspark.llm.registry import query, table
-from itemspark.llm.tasks import give_back, releasing, values
+from itemspark.llm.tasks import give_back, releasing, unused, values
 from itemspark.session import cut_lineage
 
 MATCH = 400                 # bytes of the shortest repeated string
-GRAM = 64                   # bytes of an anchor; MATCH must be larger
+GRAM = 64                   # bytes of an anchor; a match must be longer
 PIECE = 1 << 20             # start bytes of a long text that are searched at once
 CHUNK = 8192                # segments whose columns one task orders, about
 BASE = 0x9E3779B97F4A7C15
@@ -56,8 +57,8 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 class Anchors:
     """Finds the anchors of texts; keeps the powers that the rolling hash needs."""
 
-    def __init__(self, match: int):
-        self.match, self.width = match, match - GRAM + 1
+    def __init__(self, match: int, gram: int = GRAM):
+        self.match, self.gram, self.width = match, gram, match - gram + 1
         self.up = self.down = np.zeros(0, "u8")
 
     def find(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +80,7 @@ class Anchors:
             self.down = powers(2 * len(x), pow(BASE, -1, 1 << 64))
         sums = np.zeros(len(x) + 1, "u8")
         np.cumsum((x + np.uint64(1)) * self.up[:len(x)], out=sums[1:])
-        h = (sums[GRAM:] - sums[:-GRAM]) * self.down[:len(x) - GRAM + 1]
+        h = (sums[self.gram:] - sums[:-self.gram]) * self.down[:len(x) - self.gram + 1]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
@@ -89,16 +90,16 @@ class Anchors:
         return chosen, h[chosen]
 
 
-def anchor_rows(raw: DataFrame, match: int = MATCH) -> DataFrame:
-    """For ``raw`` (text_bytes binary) one row per anchor: text_key (md5), place, back
-    and ahead (bytes of surroundings before and from the anchor), gram (its hash) and
-    context (hash of the surroundings)."""
+def anchor_rows(raw: DataFrame, match: int = MATCH, gram_bytes: int = GRAM) -> DataFrame:
+    """For ``raw`` (doc, text_bytes binary) one row per anchor: doc, text_key (md5),
+    place, back and ahead (bytes of surroundings before and from the anchor), gram (its
+    hash) and context (hash of the surroundings)."""
     def run(batches):
         from xxhash import xxh3_64_intdigest
-        finder, reach = Anchors(match), match - GRAM
+        finder, reach = Anchors(match, gram_bytes), match - gram_bytes
         for batch in batches:
-            keys, counts, cols = [], [], [[], [], [], [], []]
-            for data in values(batch.column("text_bytes")):
+            keys, rows, counts, cols = [], [], [], [[], [], [], [], []]
+            for row, data in enumerate(values(batch.column("text_bytes"))):
                 if len(data) < match:
                     continue
                 place, gram = finder.find(data)
@@ -106,27 +107,34 @@ def anchor_rows(raw: DataFrame, match: int = MATCH) -> DataFrame:
                 context = np.fromiter((xxh3_64_intdigest(data[p - b:p + a], b) for p, b, a in
                                        zip(place.tolist(), back.tolist(), ahead.tolist())), "u8", len(place))
                 keys.append(hashlib.md5(data).digest())
+                rows.append(row)
                 counts.append(len(place))
                 for col, own in zip(cols, (place, back, ahead, gram.view("i8"), context.view("i8"))):
                     col.append(own)
             if keys:
                 at = pa.array(np.repeat(np.arange(len(keys)), counts))
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.record_batch([pa.array(keys, pa.binary()).take(at),
+                yield pa.record_batch([batch.column("doc").take(pa.array(np.repeat(rows, counts))), pa.array(keys, pa.binary()).take(at),
                                        *(pa.array(np.concatenate(c).astype("i8")).cast(k) for c, k in zip(cols, kinds))],
-                                      names=["text_key", "place", "back", "ahead", "gram", "context"])
+                                      names=["doc", "text_key", "place", "back", "ahead", "gram", "context"])
+
+    return raw.mapInArrow(releasing(run), f"doc {doc_type(raw)}, text_key binary, place long, back int, ahead int, gram long, context long")
 
-    return raw.mapInArrow(releasing(run), "text_key binary, place long, back int, ahead int, gram long, context long")
 
+def doc_type(raw: DataFrame) -> str:
+    return raw.schema["doc"].dataType.simpleString()
 
-def common_runs(segments: list[bytes], backs: list[int], match: int = MATCH):
-    """(segment, start, end) of all bytes that a segment shares with another one in a
-    common string of at least ``match`` bytes at the same columns.
+
+def common_runs(segments: list[bytes], backs: list[int], match: int = MATCH, rank: np.ndarray | None = None,
+                gram: int = GRAM):
+    """(segment, start, end) of all bytes that a segment shares with another one (of
+    smaller ``rank``, if ranks are given) in a common string of at least ``match`` bytes
+    at the same columns.
 
     ``backs`` are the places of the anchors in the segments; starts and ends count from
     the anchor.  Round by round one column of symbols is inserted.
     """
-    m, zero = len(segments), match - GRAM
+    m, zero = len(segments), match - gram
     width = zero + match
     symbols = np.full((m, width), NO_SYMBOL, "u2")
     for row, data, back in zip(symbols, segments, backs):
@@ -150,7 +158,16 @@ def common_runs(segments: list[bytes], backs: list[int], match: int = MATCH):
             carried[1:] = np.where(same, carried[1:] + 1, 0)
             carried[0] = 0
             order, common = order[moved], carried
-            if column + 1 >= match:
+            if column + 1 >= match and rank is not None:
+                shared = common >= match                        # with the one before in the order
+                if shared.any():
+                    cluster = np.cumsum(~shared) - 1
+                    own = rank[order]
+                    first = np.minimum.reduceat(own, np.flatnonzero(~shared))
+                    rows = order[own != first[cluster]]
+                    marks[rows, column + 1 - match] += 1
+                    marks[rows, column + 1] -= 1
+            elif column + 1 >= match:
                 longest = np.maximum(common, np.append(common[1:], 0))
                 hit = np.flatnonzero(longest >= match)
                 if len(hit):
@@ -165,26 +182,33 @@ def common_runs(segments: list[bytes], backs: list[int], match: int = MATCH):
     return row, start - zero, end - zero
 
 
-def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
-    """text_key and spans (array of start, end, in bytes) of the texts with repeated strings.
+def repeated_spans(docs: DataFrame, match: int = MATCH, keep_first: bool = False, gram_bytes: int = GRAM) -> DataFrame:
+    """doc, text_key and spans (array of start, end, in bytes) of the texts with repeated
+    strings; doc is null unless ``keep_first``, when only strings that also start earlier
+    count: in a smaller doc_id, or before in the same text.
 
     Spans may overlap.  Texts are known by their md5, so copies are searched together.
     """
-    raw = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text_bytes"))
-    anchors = cut_lineage(anchor_rows(raw, match), "anchors")
+    doc = F.col("doc_id") if keep_first else F.lit(None).cast("long")
+    raw = docs.select(doc.alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text_bytes"))
+    anchors = cut_lineage(anchor_rows(raw, match, gram_bytes), "anchors")
     # counts are stored before they are joined: only a join of two plain shuffles can be
     # split by Spark where one gram has very many rows
     often = cut_lineage(anchors.groupBy("gram").count().where("count > 1").select("gram"), "often")
     shared = cut_lineage(anchors.join(often, "gram"), "shared")
 
     contexts = cut_lineage(shared.groupBy("gram", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("text_key", "place", "back", "ahead")).alias("at")), "contexts")
-    whole = (shared.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"])
-             .select("text_key", (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end")))
+        F.count("*").alias("n"), F.min(F.struct("doc", "text_key", "place", "back", "ahead")).alias("at")), "contexts")
+    again = contexts.where("n > 1").select("gram", "context", F.struct("at.doc", "at.text_key", "at.place").alias("first"))
+    whole = shared.join(again, ["gram", "context"])
+    if keep_first:
+        whole = whole.where(~F.struct("doc", "text_key", "place").eqNullSafe(F.col("first")))
+    whole = whole.select("doc", "text_key", (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"))
 
     several = cut_lineage(contexts.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
+    # segments that are covered as a whole are compared with, but need no marks
     open_ = cut_lineage(contexts.join(several, "gram").select(
-        "gram", "context", "contexts", (F.col("n") == 1).alias("alone"), "at.*"), "open")
+        "gram", "context", "contexts", ((F.col("n") == 1) | F.lit(keep_first)).alias("alone"), "at.*"), "open")
     n_open = open_.count()
     batches = n_open // CHUNK + 1
     blocks = F.ceil(F.col("contexts") / CHUNK).cast("int")
@@ -194,13 +218,15 @@ def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
              .withColumn("batch", F.when(blocks > 1, F.col("gram")).otherwise(F.pmod(F.col("gram"), F.lit(batches))))
              .withColumn("block", F.when(blocks > 1, F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).otherwise(-1))
              .groupBy("text_key").agg(F.collect_list(F.struct(
-                 "batch", "block", "gram", "context", "alone", "place", "back", "ahead")).alias("wanted")))
+                 "batch", "block", "gram", "context", "alone", "doc", "place", "back", "ahead")).alias("wanted")))
 
+    kind = doc_type(raw)
     segments = (once_per_task(raw).join(dealt, "text_key").mapInArrow(
-        releasing(cut_segments), "batch long, block long, gram long, context long, alone boolean, text_key binary, place long, back int, segment binary"))
+        releasing(cut_segments), f"batch long, block long, gram long, context long, alone boolean, doc {kind}, "
+                                 "text_key binary, place long, back int, segment binary"))
     partly = segments.groupBy("batch", "block").applyInArrow(
-        lambda group: matched(group, match), "text_key binary, start long, end long")
-    return (whole.unionByName(partly).groupBy("text_key")
+        lambda group: matched(group, match, keep_first, gram_bytes), f"doc {kind}, text_key binary, start long, end long")
+    return (whole.unionByName(partly).groupBy("doc", "text_key")
             .agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 
@@ -226,27 +252,34 @@ def once_per_task(raw: DataFrame) -> DataFrame:
 def cut_segments(batches):
     from zstandard import ZstdDecompressor
     unpack = ZstdDecompressor().decompress
-    names = ["batch", "block", "gram", "context", "alone", "text_key", "place", "back", "segment"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["batch", "block", "gram", "context", "alone", "doc", "text_key", "place", "back", "segment"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), None, pa.binary(), pa.int64(), pa.int32(), pa.binary()]
     for batch in batches:
+        kinds[5] = batch.column("wanted").type.value_type.field("doc").type
         rows = []
         for key, packed, wanted in zip(*(values(batch.column(c)) for c in ("text_key", "packed", "wanted"))):
             data = unpack(packed)
-            rows += [(w["batch"], w["block"], w["gram"], w["context"], w["alone"], key, w["place"], w["back"],
+            rows += [(w["batch"], w["block"], w["gram"], w["context"], w["alone"], w["doc"], key, w["place"], w["back"],
                       data[w["place"] - w["back"]:w["place"] + w["ahead"]]) for w in wanted]
         yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
 
-def matched(group: pa.Table, match: int) -> pa.Table:
+def matched(group: pa.Table, match: int, keep_first: bool = False, gram: int = GRAM) -> pa.Table:
     """Spans that the segments of one batch share; texts read twice count once."""
     pairs = np.stack([group.column(c).to_numpy() for c in ("gram", "context")], 1)
     _, first = np.unique(pairs, axis=0, return_index=True)
     group = group.take(pa.array(first))
-    row, start, end = common_runs(group.column("segment").to_pylist(), group.column("back").to_pylist(), match)
+    rank = None
+    if keep_first:
+        order = pc.sort_indices(group.select(["doc", "text_key", "place"]), null_placement="at_start",
+                                sort_keys=[(c, "ascending") for c in ("doc", "text_key", "place")]).to_numpy()
+        rank = np.empty(len(order), "i8")
+        rank[order] = np.arange(len(order))
+    row, start, end = common_runs(group.column("segment").to_pylist(), group.column("back").to_pylist(), match, rank, gram)
     alone = group.column("alone").to_numpy(zero_copy_only=False)[row]       # the others are covered as a whole
     row, start, end = row[alone], start[alone], end[alone]
     place = group.column("place").to_numpy()[row]
-    found = pa.table({"text_key": group.column("text_key").take(pa.array(row)),
+    found = pa.table({"doc": group.column("doc").take(pa.array(row)), "text_key": group.column("text_key").take(pa.array(row)),
                       "start": pa.array(place + start, pa.int64()), "end": pa.array(place + end, pa.int64())})
     give_back()
     return found
@@ -262,7 +295,8 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, match: int = MATCH, as_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, match: int = MATCH, as_text: bool = False, keep_first: bool = False,
+                    gram_bytes: int = GRAM) -> DataFrame:
     """Add ``removed`` (array of start, end: maximal removed byte runs) and ``kept`` (the
     other bytes) to the documents; columns of those names are replaced, others stay.
     ``as_text`` gives ``kept`` as a string: a code point cut by the end of a removed run
@@ -271,13 +305,20 @@ def without_repeats(docs: DataFrame, match: int = MATCH, as_text: bool = False)
     Removed is every byte covered by a string of ``match`` UTF-8 bytes that also starts
     anywhere else, in this or another document; matches don't cross documents and are
     judged on the input.  So all copies of a repeated passage go, and all of a copied
-    text that is long enough.  Null text: empty.  Texts shorter than ``match`` stay
-    whole; an empty table stays empty.
+    text that is long enough.  ``keep_first`` leaves one: only strings count that also
+    start earlier, which is in a document of smaller doc_id (null is the smallest), in a
+    different text of the same doc_id with a smaller md5, or before in the same text.
+    Rows equal in doc_id and text are then handled alike.  Null text: empty.  Texts
+    shorter than ``match`` stay whole; an empty table stays empty.
     """
-    rows = docs.drop("removed", "kept", "_spans", "_key")
-    keyed = rows.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    spans = cut_lineage(repeated_spans(docs, match), "spans").toDF("_key", "_spans")
-    joined = keyed.join(spans, "_key", "left").drop("_key")
+    rows = docs.drop("removed", "kept")
+    key, doc, at, found = (unused(c, rows.columns) for c in ("key", "doc", "text_key", "spans"))
+    keyed = rows.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    spans = cut_lineage(repeated_spans(docs, match, keep_first, gram_bytes), "spans").toDF(doc, at, found)
+    same = F.col(key) == F.col(at)
+    if keep_first:
+        same = same & F.col("doc_id").eqNullSafe(F.col(doc))
+    joined = keyed.join(spans, same, "left").drop(key, doc, at)
     text_at, spans_at = rows.columns.index("text"), len(rows.columns)
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -300,9 +341,11 @@ def without_repeats(docs: DataFrame, match: int = MATCH, as_text: bool = False)
 
 @query("op5_repeats")
 def op5_repeats(spark, folder) -> DataFrame:
-    """All documents without the bytes of strings of 400 bytes that occur again."""
+    """All documents without the bytes of strings of 400 bytes that occur again; ``text``
+    is what is left, with U+FFFD for code points that the end of a removed run cuts."""
     found = without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     length = lambda x: F.octet_length(x).cast("long")
     return found.select("doc_id", length(F.coalesce("text", F.lit(""))).alias("n_bytes"),
                         (length(F.coalesce("text", F.lit(""))) - length("kept")).alias("n_removed"),
-                        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

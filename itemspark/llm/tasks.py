@@ -20,6 +20,14 @@ def values(column: pa.Array) -> Iterator:
         yield from column.slice(at, SLICE_ROWS).to_pylist()
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def remembered(key, make: Callable[[], object]):
     """An object that lives as long as the Python worker, for the tasks after this one;
     a new one is made for each ``key``, which must name all that it depends on."""

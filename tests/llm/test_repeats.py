@@ -29,7 +29,39 @@ def test_query_equals_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((d, n, gone, spans, hashlib.sha256(kept).hexdigest())
                   for (d, _), (n, gone, spans, kept) in zip(docs, plain([t for _, t in docs], 400)))
-    assert sorted(tuple(r) for r in QUERIES["op5_repeats"](spark, folder).collect()) == want
+    rows = QUERIES["op5_repeats"](spark, folder).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == want
+    texts = dict(docs)
+    assert all((r["text"] == texts[r["doc_id"]]) == (r["n_removed"] == 0) for r in rows)
+
+
+def plain_first(rows, match):
+    """What is left of each (doc_id, text) without the bytes of strings that start in an
+    earlier place: of documents in the order of doc_id (null first) and md5 of the text."""
+    seen, left = set(), {}
+    for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - match + 1):
+            if data[i:i + match] in seen:
+                gone[i:i + match] = b"\1" * match
+            seen.add(data[i:i + match])
+        left[doc_id, text] = bytes(b for b, g in zip(data, gone) if not g)
+    return left
+
+
+@pytest.mark.parametrize("seed, chunk", [(1, 8192), (2, 8192), (3, 5)])
+def test_first_copies_stay(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    rows = list(enumerate(collection(seed)))
+    rows += [(None, rows[0][1]), (3, rows[1][1]), (3, rows[1][1]), (900, "ab" * 300), (901, "ab" * 200)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, doc int, _key int, spans int")
+    found = repeats.without_repeats(docs, 100, keep_first=True, gram_bytes=32)
+    assert found.columns == [*docs.columns, "removed", "kept"]
+    want = plain_first(rows, 100)
+    got = found.collect()
+    assert len(got) == len(rows)
+    assert all(bytes(r["kept"]) == want[r["doc_id"], r["text"]] and (r["doc"], r["_key"], r["spans"]) == (1, 2, 3) for r in got)
 
 
 def collection(seed):
@@ -53,11 +85,10 @@ def test_short_matches(spark, monkeypatch, seed, chunk, piece):
     """Shorter strings, segments dealt into blocks, and long texts searched in pieces."""
     monkeypatch.setattr(repeats, "CHUNK", chunk)
     monkeypatch.setattr(repeats, "PIECE", piece)
-    monkeypatch.setattr(repeats, "GRAM", 20)
     texts, match = collection(seed), 100
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted((r["doc_id"], len((r["text"] or "").encode()), sum(s["end"] - s["start"] for s in r["removed"]),
-                  len(r["removed"]), bytes(r["kept"])) for r in repeats.without_repeats(docs, match).collect())
+                  len(r["removed"]), bytes(r["kept"])) for r in repeats.without_repeats(docs, match, gram_bytes=20).collect())
     assert got == [(i, *w) for i, w in enumerate(plain(texts, match))]
 
 
