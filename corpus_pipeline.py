@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from itemspark.llm import language, mixing, packing, repeats, simhash
 from itemspark.session import cut_lineage
 
+#: Bytes of the shortest repeated string that goes: less than 50 words have.
+REPEATED_BYTES = 240
+ANCHOR_BYTES = 32
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Texts whose best language scores less are in none of the learned languages.  Short
@@ -68,14 +72,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that occur again.
+    """Documents without the strings of REPEATED_BYTES bytes that occurred before: in a
+    document of smaller doc_id, or earlier in the same text.  So one copy of a passage
+    stays in the corpus, and a document with nothing but its own text is left alone.
 
     n_chars of a changed document is counted anew.  Documents of which nothing is left
     go; those that were empty before stay.
     """
     def cut(own: DataFrame) -> DataFrame:
         changed = F.size("removed") > 0
-        found = repeats.without_repeats(own, as_text=True).where(~changed | (F.length("kept") > 0))
+        found = repeats.without_repeats(own, REPEATED_BYTES, as_text=True, keep_first=True, gram_bytes=ANCHOR_BYTES).where(~changed | (F.length("kept") > 0))
         return found.withColumns({
             "text": F.when(changed, F.col("kept")).otherwise(F.col("text")),
             "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))})
