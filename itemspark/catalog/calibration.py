@@ -89,6 +89,21 @@ def confirmatory_evaluation(spark, folder):
     return irt.evaluate(cells, model, s.items, s.takers)
 
 
+#: The last takers' step moves the items' gradients a little beyond irt.GRADIENT.
+SETTLED = 2.5 * irt.GRADIENT
+
+
+@query("k2_settled_fit", sql="""
+    SELECT 6 AS model, 'items' AS side, COUNT(*) AS n, 0 AS unsettled FROM part
+    UNION ALL SELECT 6, 'takers', COUNT(*), 0 FROM supplier""")
+def settled_fit(spark, folder):
+    """The confirmatory fit ends at an optimum: no item or taker is left with a gradient."""
+    s, cells, model = confirmatory(spark, folder, 0.0)
+    train = cells.filter("split = 'train'").select("taker", "item", "y")
+    gaps = irt.projected_gradients(train, model)
+    return gaps.groupBy("model", "side").agg(F.count("*").alias("n"), F.count_if(F.col("gap") > SETTLED).alias("unsettled"))
+
+
 @query("k2_two_stage_evaluation")
 def two_stage_evaluation(spark, folder):
     s, cells, train = split_study(spark, folder)
@@ -120,6 +135,22 @@ def dimension_sweep(spark, folder):
     return irt.evaluate(cells, model, s.items, s.takers)
 
 
+@query("k5_settled_sweep", sql="""
+    SELECT m AS n_dimensions, (SELECT COUNT(*) FROM supplier) AS takers, 0 AS unsettled, 0 AS negative, 0 AS beyond_size
+    FROM (VALUES (2), (4), (7)) v(m)""")
+def settled_sweep(spark, folder):
+    """Models of a sweep: abilities of the rotated items are at their optimum, nothing is
+    negative, and a model has no parameters beyond its size."""
+    s, _, train = split_study(spark, folder)
+    model = irt.fit_exploratory(train, s.items, s.takers, [2, 4, 7])
+    gaps = irt.projected_gradients(train, model, move_items=False)
+    beyond = sum((F.when(F.col("model") <= d, F.abs(F.col(c))).otherwise(0.0) for d, c in enumerate(vectors.dims("a", 7))), F.lit(0.0))
+    items = model.items.groupBy("model").agg(
+        F.count_if(F.least(*vectors.dims("a", 7)) < 0).alias("negative"), F.count_if(beyond > 0).alias("beyond_size"))
+    takers = gaps.groupBy("model").agg(F.count("*").alias("takers"), F.count_if(F.col("gap") > SETTLED).alias("unsettled"))
+    return takers.join(items, "model").select(F.col("model").alias("n_dimensions"), "takers", "unsettled", "negative", "beyond_size")
+
+
 @query("k6_free_ability_evaluation")
 def free_ability_evaluation(spark, folder):
     s, cells, model = confirmatory(spark, folder, None)

@@ -5,10 +5,11 @@ taker, t1..tk); the probability of a right answer is sigmoid(a . t - d).  One
 step joins the cells with both tables and adds up gradients per item or per
 taker, so a hot item or taker is combined map-side like any other sum.
 
-Steps raise the penalised likelihood by a separable quadratic model of it: every
+Fits alternate bounded Newton steps per item and per taker (``tiles``) until likelihood
+and projected gradients have settled; a fit that doesn't settle is an error, not a
+result.  ``model`` lets many models (a sweep of dimensions) share every pass.  The single
+steps ``item_step`` and ``taker_step`` use a separable quadratic model instead: every
 parameter moves by gradient over its share of the curvature and is then clamped.
-Rounds go on until the likelihood settles; a fit that doesn't settle is an error,
-not a result.  ``model`` lets many models (a sweep of dimensions) share every pass.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemspark.functions.scalars import dot, hash_normal, hash_uniform, log_likelihood, sigmoid
-from itemspark.operators import stats
+from itemspark.operators import stats, tiles
 from itemspark.operators.factors import varimax_turns
 from itemspark.operators.moments import collect_matrix, dense_gram
 from itemspark.operators.vectors import dims
 from itemspark.session import cut_lineage
 
-#: A fit has settled when a round changes the log-likelihood by less than this share.
+#: A fit has settled when a round changes the log-likelihood by less than this share,
 TOLERANCE = 5e-4
+#: and no projected gradient is larger than this for each cell of its item or taker.
+GRADIENT = 0.02
 #: Factor on the steps of the alternating fits; below 2.
 RELAXATION = 1.5
 #: A fit that hasn't settled after so many rounds raises.
@@ -188,15 +191,6 @@ def _kept(step: Column, most: float = 2.0) -> Column:
     return F.greatest(F.lit(-most), F.least(F.lit(most), RELAXATION * step))
 
 
-def _settled(model: Model, before: dict[int, float], tolerance: float) -> bool:
-    """Whether no model's likelihood changed by ``tolerance`` of itself; notes the new ones."""
-    now = {r["model"]: r["ll"] for r in                     # one row per model
-           model.takers.groupBy("model").agg(F.sum("_ll").alias("ll")).collect()}
-    done = all(abs(ll - before.get(m, float("inf"))) <= tolerance * abs(ll) for m, ll in now.items())
-    before.update(now)
-    return done
-
-
 def item_step(train: DataFrame, model: Model, a_min: float = 1e-6, ridge: float = 0.1) -> Model:
     """Move a and d of every item with the abilities fixed; masked a stay 0."""
     k = model.k
@@ -229,20 +223,47 @@ def taker_step(train: DataFrame, model: Model, theta_min: float | None = 0.0,
     return Model(model.items, cut_lineage(table.select("model", "taker", *new, "_ll")), k)
 
 
-def _until_settled(model: Model, rounds, tolerance: float) -> Model:
+def solve(train: DataFrame, begun: Model, tolerance: float = TOLERANCE, gradient: float = GRADIENT,
+          theta_min: float | None = 0.0, a_min: float = 1e-6, move_items: bool = True,
+          item_ridge: float = 0.1, taker_ridge: float = 1.0) -> Model:
+    """The penalised optimum near ``begun``, by alternating bounded Newton steps.
+
+    Cells are stored once as tiles and don't move.  A model has settled when a round
+    changes its log-likelihood by at most ``tolerance`` of itself and no item's or taker's
+    projected gradient exceeds ``gradient`` times its cells (and one for the prior).
+    """
+    k = begun.k
+    models = sorted(r[0] for r in begun.items.select("model").distinct().collect())      # a few numbers
+    columns = [*dims("q", k), *dims("a", k), "d"]
+    places_i = tiles.blocks_of(begun.items.select("item").distinct(), "item", tiles.BLOCK)
+    places_t = tiles.blocks_of(begun.takers.select("taker").distinct(), "taker", tiles.BLOCK)
+    table = tiles.stored_tiles(train, places_i, places_t)
+    pairs = cut_lineage(table.select("tile", "ib", "tb"), "pairs")
+    items = tiles.packed_blocks(begun.items, places_i, "item", columns, models)
+    takers = tiles.packed_blocks(begun.takers, places_t, "taker", dims("t", k), models)
+    used = begun.items.groupBy("model").agg(*[F.max(c).alias(c) for c in dims("q", k)]).collect()
+    used_by = {models.index(r["model"]): [d for d, c in enumerate(dims("q", k)) if r[c] > 0] for r in used}
+    shape, active = tiles.Shape(len(models), k), tuple(range(len(models)))
     before: dict[int, float] = {}
     for _ in range(MOST_ROUNDS):
-        model = rounds(model)
-        if _settled(model, before, tolerance):
-            return Model(model.items, model.takers.drop("_ll"), model.k)
-    raise RuntimeError(f"the likelihood has not settled after {MOST_ROUNDS} rounds")
+        if move_items:
+            items = tiles.step(table, pairs, items, takers, shape, active, "item", item_ridge, a_min, used_by, RELAXATION)
+        takers = tiles.step(table, pairs, items, takers, shape, active, "taker", taker_ridge, theta_min, used_by,
+                            RELAXATION if move_items else 1.0)
+        now, gap = tiles.progress(items if move_items else items.limit(0), takers)
+        active = tuple(m for m in active if gap.get(m, 0.0) > gradient
+                       or abs(now.get(m, 0.0) - before.get(m, float("inf"))) > tolerance * abs(now.get(m, 0.0)))
+        before = now
+        if not active:
+            found = tiles.unpacked_blocks(items, places_i, "item", columns, models)
+            return Model(found, tiles.unpacked_blocks(takers, places_t, "taker", dims("t", k), models), k)
+    raise RuntimeError(f"{len(active)} models have not settled after {MOST_ROUNDS} rounds")
 
 
 def fit_joint(train: DataFrame, takers: DataFrame, masks: DataFrame, k: int, tolerance: float = TOLERANCE,
               theta_min: float | None = 0.0, a_min: float = 1e-6, seed: int = 0) -> Model:
-    """Alternate item and taker steps.  ``theta_min=None`` leaves abilities free."""
-    begun = start(train, takers, masks, k, theta_min, seed)
-    return _until_settled(begun, lambda m: taker_step(train, item_step(train, m, a_min), theta_min), tolerance)
+    """Items and abilities together.  ``theta_min=None`` leaves abilities free."""
+    return solve(train, start(train, takers, masks, k, theta_min, seed), tolerance, theta_min=theta_min, a_min=a_min)
 
 
 def fit_nuisance(train: DataFrame, takers: DataFrame, masks: DataFrame, k: int, tolerance: float = TOLERANCE,
@@ -250,7 +271,35 @@ def fit_nuisance(train: DataFrame, takers: DataFrame, masks: DataFrame, k: int,
     """Two-stage variant: closed-form items, then abilities only."""
     begun = start(train, takers, masks, k, theta_min)
     begun = Model(cut_lineage(nuisance_items(train, masks, k, a_min)), begun.takers, k)
-    return _until_settled(begun, lambda m: taker_step(train, m, theta_min), tolerance)
+    return solve(train, begun, tolerance, theta_min=theta_min, move_items=False)
+
+
+def projected_gradients(train: DataFrame, model: Model, theta_min: float | None = 0.0, a_min: float = 1e-6,
+                        item_ridge: float = 0.1, taker_ridge: float = 1.0, move_items: bool = True) -> DataFrame:
+    """How far a fit is from its optimum: model, side, key and gap, the largest gradient
+    of an item's or taker's parameters for each of its cells (and one for the prior).  A
+    parameter at its bound counts only if its gradient points away from the bound."""
+    k = model.k
+    joined = _joined(train, model)
+
+    def side(table, key, weights, own, low, ridge, centre, name):
+        sums = joined.groupBy("model", key).agg(F.count("*").alias("_n"), *_sums(weights, k, "_"))
+        rows = table.join(sums, ["model", key], "left").na.fill(0.0).na.fill(0)
+        gaps = []
+        for i, c in enumerate(own, 1):
+            g = F.col(f"_g{i}") + ridge * (centre - F.col(c))
+            free = F.lit(True) if low is None else (F.col(c) > low) | (g > 0)
+            gaps.append(F.when(free, F.abs(g)).otherwise(0.0) * (F.col(f"q{i}") if name == "items" else 1.0))
+        if name == "items":
+            gaps.append(F.abs(F.col("_gd") + ridge * F.col("d")))
+        return rows.select("model", F.lit(name).alias("side"), F.col(key).cast("string").alias("key"),
+                           (F.greatest(*gaps, F.lit(0.0)) / (F.col("_n") + 1)).alias("gap"))
+
+    found = side(model.takers, "taker", [F.col(a) for a in dims("a", k)], dims("t", k), theta_min, taker_ridge, 0.0, "takers")
+    if not move_items:
+        return found
+    weights = [F.col(t) * F.col(q) for t, q in zip(dims("t", k), dims("q", k))]
+    return found.unionByName(side(model.items, "item", weights, dims("a", k), a_min, item_ridge, 1.0, "items"))
 
 
 def rotate_items(model: Model) -> DataFrame:
@@ -277,7 +326,7 @@ def fit_exploratory(train: DataFrame, items: DataFrame, takers: DataFrame, sizes
     k = max(sizes)
     model = fit_joint(train, takers, free_masks(items, k, sizes), k, tolerance, 0.0, 0.0, seed)
     model = Model(cut_lineage(rotate_items(model)), model.takers, k)
-    return _until_settled(model, lambda m: taker_step(train, m, 0.0), tolerance)
+    return solve(train, model, tolerance, move_items=False)
 
 
 def evaluate(cells: DataFrame, model: Model, items: DataFrame, takers: DataFrame) -> DataFrame:

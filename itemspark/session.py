@@ -49,8 +49,18 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_NAMED: dict[str, list[str]] = {}
+
+
+def remember_table(spark: SparkSession, name: str) -> None:
+    """Note a catalog table whose files lie among the staged ones, to be dropped with them."""
+    _NAMED.setdefault(spark.sparkContext.applicationId, []).append(name)
+
+
 def drop_staged_tables(spark: SparkSession) -> bool:
     """Remove the tables this application staged; call it when all results are stored."""
+    for name in _NAMED.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staging_root(spark))
     return path.getFileSystem(hadoop).delete(path, True)

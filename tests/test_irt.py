@@ -135,3 +135,54 @@ def test_text_regression_is_ridge(spark):
     assert np.allclose(c, want)
     got = irt.predict_text_regression(table, c).orderBy("item").toPandas()[["f1", "f2"]].values
     assert np.allclose(got, full @ want)
+
+
+def test_newton_finds_the_bounded_optimum():
+    from itemspark.operators import tiles
+    rng = np.random.default_rng(4)
+    w, n = rng.normal(size=(300, 3)), 3
+    y = (rng.random(300) < 0.6).astype(float)
+    x, least = np.zeros((1, n)), np.array([[0.0, 0.0, -np.inf]])
+    for _ in range(60):
+        p = tiles.answer_probability(w @ x[0])
+        sums = tiles.sums_of(w.T, np.zeros(300, int), 1, y, p)
+        x, gap = tiles.newton(x, least, sums[:n].T - x, tiles.full(sums[n:-1], n) + np.eye(n), np.ones((1, n), bool), sums[-1])
+    assert gap.max() < 1e-8 and (x >= least).all()
+    g = w.T @ (y - tiles.answer_probability(w @ x[0])) - x[0]
+    assert all(abs(v) < 1e-8 or (u == b and v <= 0) for u, v, b in zip(x[0], g, least[0]))
+
+
+@pytest.mark.parametrize("block", [1024, 37])
+def test_fits_do_not_depend_on_blocks(spark, monkeypatch, factor_cells, block):
+    from itemspark.operators import tiles
+    monkeypatch.setattr(tiles, "BLOCK", block)
+    _, table, qmatrix, takers, _ = factor_cells
+    masks = irt.qmatrix_masks(qmatrix, ["s0", "s1", "s2", "s3"])
+    begun = irt.start(table, takers, masks, 4, 0.0)
+    model = irt.solve(table, begun, 1e-5, 1e-4, move_items=False)
+    gaps = irt.projected_gradients(table, model, move_items=False)
+    assert gaps.count() == 120 and gaps.agg(F.max("gap")).first()[0] < 1e-3
+    assert model.items.count() == 200 and model.items.exceptAll(begun.items.select(model.items.columns)).count() == 0
+
+
+def test_steps_do_not_shuffle_cells(spark, factor_cells):
+    from itemspark.operators import tiles
+    _, table, _, takers, items = factor_cells
+    stored = tiles.stored_tiles(table, tiles.blocks_of(items.select("item"), "item", 50), tiles.blocks_of(takers.select("taker"), "taker", 30))
+    sent = stored.select("tile").withColumn("payload", F.lit("x")).repartition(3)
+    with_limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = stored.join(sent, "tile")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_limit)
+    scan_with_cells = next(i for i, line in enumerate(plan.splitlines()) if "Scan" in line and "cells" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    above = []
+    level = depth(plan.splitlines()[scan_with_cells])
+    for line in reversed(plan.splitlines()[:scan_with_cells]):
+        if depth(line) < level:
+            above.append(line)
+            level = depth(line)
+    assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
+    assert "SelectedBucketsCount" in plan
