@@ -7,7 +7,7 @@ document is sampled with the probability that takes its cell to its weight.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemspark.llm.registry import query, table
@@ -18,6 +18,7 @@ POWER = 0.9                 # targets: token shares to this power, so rare value
 TOLERANCE = 1e-12
 LEAST_GAIN = 0.05           # a round must bring the marginals nearer by this part
 CELLS_PER_TASK = 100_000
+JOB_ROUNDS = 8              # rounds of one job where a task holds all cells
 MISSING = "(none)"
 
 
@@ -71,6 +72,8 @@ def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE) ->
     targets = cut_lineage(near(present.join(F.broadcast(whole), "dim").select(
         "dim", "value", F.when(F.col("whole") > 0, F.col("target") / F.col("whole")).otherwise(0.0).alias("target"))), "targets")
     now = cut_lineage(near(cells.withColumn("weight", F.col("tokens").cast("double"))), "weights")
+    if tasks == 1:
+        return _raked_at_once(now, targets, tolerance)
     before = float("inf")
     while True:
         for d in DIMENSIONS:
@@ -86,6 +89,28 @@ def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE) ->
         before = off
 
 
+def _raked_at_once(cells: DataFrame, targets: DataFrame, tolerance: float) -> DataFrame:
+    """``raked`` for cells that one task holds (CELLS_PER_TASK): JOB_ROUNDS rounds are
+    one job without an exchange, so marginals that come near slowly cost few jobs."""
+    now = cells
+    for d in DIMENSIONS:
+        now = now.join(targets.where(F.col("dim") == d).select(F.col("value").alias(f"_{d}"), F.col("target").alias(f"_{d}_target")), f"_{d}")
+    now = cut_lineage(now.coalesce(1), "weights")
+    total = lambda d: F.sum("weight").over(Window.partitionBy(f"_{d}"))
+    before = float("inf")
+    while True:
+        now = now.coalesce(1)
+        for d in DIMENSIONS * JOB_ROUNDS:
+            now = (now.withColumn("_total", total(d)).withColumn("weight", F.when(
+                F.col("_total") > 0, F.col("weight") * F.col(f"_{d}_target") / F.col("_total")).otherwise(0.0)).drop("_total"))
+        now = cut_lineage(now, "weights")
+        gaps = [F.abs(total(d) - F.col(f"_{d}_target")).alias(f"_{d}_gap") for d in DIMENSIONS]
+        off = now.coalesce(1).select(*gaps).agg(F.max(F.greatest(*[f"_{d}_gap" for d in DIMENSIONS]))).first()[0]
+        if off is None or off < tolerance or off > (1 - LEAST_GAIN) ** JOB_ROUNDS * before:
+            return now.drop(*[f"_{d}_target" for d in DIMENSIONS]).withColumn("target_gap", F.lit(off).cast("double"))
+        before = off
+
+
 def mixed(docs: DataFrame, power: float = POWER, seed: int = 42) -> DataFrame:
     """Add topic, tokens, ``weight`` (token share the document's cell shall have),
     ``target_gap`` (see ``raked``), ``probability`` and ``sampled``.
