@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from itemspark.llm.registry import query, table
 from itemspark.llm.tasks import releasing, values
+from itemspark.session import cut_lineage
 
 SLOTS = 1 << 14
 TRAIN_ROWS = 3000           # labelled texts that the fit uses, about, over all languages
@@ -25,6 +26,7 @@ LANDMARKS = 200
 RIDGE = 0.01
 BATCH = 256                 # texts of one matrix product
 NONE = "und"
+HASH_BITS = 62              # of the hash that chooses training rows
 
 
 def gram_slots(text: str) -> np.ndarray:
@@ -61,26 +63,33 @@ def fit(bits: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray]:
     return languages, (marks.T.astype("f8") @ (root @ weights)).astype("f4")
 
 
+def below(count, labels: int, rows: int = TRAIN_ROWS):
+    """The hash below which a row of a label with ``count`` rows is chosen."""
+    share = F.least(F.lit(1.0), F.lit(rows / max(labels, 1)) / count)
+    return F.floor(share * F.lit(float(1 << HASH_BITS))).cast("long")
+
+
 def training_rows(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, list[str]]:
     """Packed presence and labels of about ``rows`` rows with text and label, as many of
-    each label as there are, chosen by a hash of id and text; never more than twice as many."""
+    each label as there are, chosen by a hash of id and text.
+
+    Rows equal in id, text and label count once among the chosen.  If chance gives more
+    than twice ``rows``, those with the smallest hashes stay.
+    """
     own = docs.where(F.col(label).isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r[label]: r["count"] for r in own.groupBy(label).count().collect()}     # one row per language
-    if not counts:
-        return np.zeros((0, SLOTS // 8), "u1"), []
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col(label) == name, int(1e6 * min(1, rows / len(counts) / n))).otherwise(share)
-    chosen = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share)
+    own = own.select(F.col(label).alias("label"), "text", F.xxhash64("doc_id", "text").bitwiseAND((1 << HASH_BITS) - 1).alias("hash"))
+    counts = cut_lineage(own.groupBy("label").count(), "labels")
+    limits = counts.select("label", below(F.col("count"), counts.count(), rows).alias("limit"))
+    chosen = own.join(limits, "label").where("hash < limit").dropDuplicates(["label", "hash"])
 
     def run(batches):
         for batch in batches:
             bits = [np.packbits(presence([t])[0] > 0).tobytes() for t in values(batch.column("text"))]
-            yield pa.record_batch({"label": batch.column("label"), "bits": pa.array(bits, pa.binary())})
+            yield pa.record_batch({"label": batch.column("label"), "hash": batch.column("hash"), "bits": pa.array(bits, pa.binary())})
 
     found = sorted((r["label"], bytes(r["bits"])) for r in
-                   chosen.select(F.col(label).alias("label"), "text")
-                   .mapInArrow(releasing(run), "label string, bits binary").limit(2 * rows).collect())
+                   chosen.select("label", "hash", "text").mapInArrow(releasing(run), "label string, hash long, bits binary")
+                   .orderBy("hash", "label").limit(2 * rows).collect())
     return np.frombuffer(b"".join(b for _, b in found), "u1").reshape(-1, SLOTS // 8), [v for v, _ in found]
 
 

@@ -44,3 +44,19 @@ def test_nulls_letterless_long_texts_and_empty_table(spark):
     assert {r["lang_pred"] for r in language.predict(unlabelled, *language.learned(unlabelled)).collect()} == {"und"}
     empty = docs.limit(0)
     assert language.predict(empty, *language.learned(empty)).count() == 0
+
+
+def test_share_of_very_large_tables(spark):
+    """Any number of rows leaves about the same number to learn from."""
+    counts = spark.createDataFrame([(10 ** e,) for e in range(1, 16)], "n long")
+    got = {r["n"]: r["t"] for r in counts.select("n", language.below(counts["n"], 4).alias("t")).collect()}
+    assert got[10] == 1 << language.HASH_BITS
+    for n, limit in got.items():
+        assert abs(n * limit / (1 << language.HASH_BITS) - min(n, language.TRAIN_ROWS / 4)) < 1e-3
+
+
+def test_repeated_rows_are_learned_once(spark):
+    rows = [(1, "the cat sat on the mat", "en")] * 500 + [(2, "le chat noir est la", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bits, labels = language.training_rows(docs)
+    assert labels == ["en", "fr"] and len(bits) == 2
