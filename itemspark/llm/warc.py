@@ -18,11 +18,13 @@ from itemspark.llm.registry import query, table
 from itemspark.session import cut_lineage, staging_path
 
 LEAST_BYTES = 100            # smaller payloads are always stored in full
-PAGES_PER_FILE = 2000
+FILE_BYTES = 128 << 20       # payload bytes of a file, unless one page has more
+PAGE_CLASSES = (64 << 10, 1 << 20)      # pages up to these sizes share files; larger ones have their own
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 CHUNK = 8 << 20              # bytes of blocks that the reader hands on at once
+FED = 32 << 10               # packed bytes fed to the unpacker at once
 
 
 def _record_id(kind: str, page, digest):
@@ -58,7 +60,7 @@ def write_pages(pages: DataFrame, path: str) -> None:
     the others as revisit records.  Null html: empty payload.  Null url: empty.  A null
     page_id is never the smallest.  Rows that repeat a page_id are each written; those
     with the smallest one are all responses.  Other columns are left out; an empty
-    table writes no records.
+    table writes no records.  A file holds at most FILE_BYTES of payloads or one page.
     """
     own = with_first(pages)
     page, digest = F.col("page_id"), F.col("digest")
@@ -80,20 +82,29 @@ def write_pages(pages: DataFrame, path: str) -> None:
                      F.when(revisit, status).otherwise(F.concat(status, F.col("html"))))
     metadata = _record(F.lit("metadata"), _record_id("metadata", page, digest), uri, linked,
                        "application/warc-fields", fields)
-    (own.select(F.concat_ws(CRLF + CRLF, request, answer, metadata).alias("value"))
-     .write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
-     .option("maxRecordsPerFile", PAGES_PER_FILE).text(path))
+    records = F.concat_ws(CRLF + CRLF, request, answer, metadata).alias("value")
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    least = -1
+    for most in (*PAGE_CLASSES, None):
+        of_class = F.col("n_bytes") > least if most is None else F.col("n_bytes").between(least + 1, most)
+        if largest > least:
+            (own.where(of_class).select(records).write.mode("append").option("lineSep", CRLF + CRLF)
+             .option("compression", "gzip").option("maxRecordsPerFile", FILE_BYTES // most if most else 1).text(path))
+        least = most
 
 
 def plain(data: bytes) -> bytes:
     """The bytes of a WARC file, unpacked when it consists of gzip members."""
     if data[:2] != b"\x1f\x8b":
         return data
-    parts = []
-    while data[:2] == b"\x1f\x8b":
+    view, parts, at = memoryview(data), [], 0
+    while view[at:at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        parts.append(member.decompress(data) + member.flush())
-        data = member.unused_data
+        while not member.eof and at < len(view):
+            fed = view[at:at + FED]
+            parts.append(member.decompress(fed))
+            at += len(fed) - len(member.unused_data)       # what a member leaves is the next one's
+        parts.append(member.flush())
     return b"".join(parts)
 
 
@@ -173,10 +184,10 @@ def captures(records: DataFrame) -> DataFrame:
 def page_captures(spark: SparkSession, path: str) -> DataFrame:
     """Captures with page_id and url from their metadata, and for revisits the page
     and payload length of the response that they refer to."""
-    rows = (read_records(spark, path)
-            .withColumn("payload_bytes", F.octet_length("block").cast("long"))
-            .withColumn("payload_digest", F.when(F.col("record_type") == "response", F.sha2("block", 256))
-                        .otherwise(F.col("digest"))))
+    rows = cut_lineage(read_records(spark, path)                # four readers, one parse
+                       .withColumn("payload_bytes", F.octet_length("block").cast("long"))
+                       .withColumn("payload_digest", F.when(F.col("record_type") == "response", F.sha2("block", 256))
+                                   .otherwise(F.col("digest"))), "records")
     fields = F.col("metadata.block")
     own = (captures(rows).withColumn("page_id", _field(fields, "page_id").cast("long"))
            .withColumn("url", F.url_decode(_field(fields, "url"))))

@@ -1,4 +1,6 @@
 import gzip
+import random
+import time
 
 from itemspark.llm import warc
 from itemspark.session import staging_path
@@ -53,3 +55,37 @@ def test_empty_table(spark):
     path = staging_path(spark, "warc-empty")
     warc.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.page_captures(spark, path).count() == 0
+
+
+def test_many_gzip_members_cost_in_proportion():
+    """Unpacking doesn't copy the rest of the file for every member."""
+    record = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3000\r\n\r\n" + random.Random(3).randbytes(3000) + b"\r\n\r\n"
+    member = gzip.compress(record)
+
+    def seconds(n):
+        begin = time.process_time()
+        assert len(warc.plain(member * n)) == n * len(record)
+        return time.process_time() - begin
+
+    seconds(100)
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.01)
+
+
+def test_large_members_and_cut_off_files():
+    data = random.Random(4).randbytes(300_000)
+    packed = gzip.compress(data)
+    assert warc.plain(packed + packed) == data + data
+    assert data.startswith(warc.plain(packed[:100_000]))
+    assert warc.plain(b"") == b""
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    monkeypatch.setattr(warc, "PAGE_CLASSES", (100, 1000))
+    rows = [(i, "u", f"{i:04d}" * n) for i, n in enumerate([20] * 90 + [200] * 12 + [2000] * 3)]
+    path = staging_path(spark, "warc-bytes")
+    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()
+    held = [sum(h["warc-type"] == "response" for h, _, _ in warc.parse(warc.plain(bytes(f["content"])))) for f in files]
+    assert sorted(held) == sorted([40, 40, 10] + [4] * 3 + [1] * 3)
+    assert warc.page_captures(spark, path).count() == len(rows)
