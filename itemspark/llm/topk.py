@@ -1,14 +1,18 @@
 """Exact top-k by inner product: tiled matrix products and tree merging.
 
-Query vectors are packed into tiles and all vectors into shards, one row each.  Every
-tile meets every shard once, by an equi-join on the shard number; a task multiplies the
-two integer matrices, keeps the k best columns of each row, and the short lists are
-merged in a tree of aggregations.  Blocks have a fixed size, so a task's memory doesn't
-depend on the table.
+Query vectors are packed into tiles and all vectors into shards, one row each, in the
+narrowest integers that hold them.  Every tile meets every shard once, by an equi-join on
+the cells of a grid: a cell holds a group of tiles and a group of shards, so a tile is
+copied once for each group of shards, not for each shard.  A task multiplies two integer
+matrices at a time, keeps the k best columns of each row, and the short lists are merged
+in a tree of aggregations.  Blocks and groups have a bounded size, so a task's memory
+doesn't depend on the table.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +24,10 @@ from itemspark.session import cut_lineage
 TILE_ROWS = 1024            # queries of a tile
 SHARD_ROWS = 4096           # candidates of a shard
 FAN_IN = 32                 # lists merged at once
+GROUP = 32                  # most tiles, and most shards, of a grid cell
 LIMIT = (1 << 63) - 1       # larger scores are stored as this, smaller ones as its negative
 
-BLOCK = "block int, dims int, ids binary, vectors binary"
+BLOCK = "block int, dims int, kind string, ids binary, vectors binary"
 TOPS = "tile int, slot int, query_id long, shard int, top array<struct<minus: long, vec_id: long>>"
 
 
@@ -45,10 +50,11 @@ def packed(rows: DataFrame, n_blocks: int) -> DataFrame:
         matrix = np.zeros((len(ids), dims), "<i8")
         matrix[np.arange(dims) < lengths[:, None]] = lists.flatten().to_numpy()
         order = np.argsort(ids, kind="stable")
+        kind = next(t for t in ("<i2", "<i4", "<i8") if t == "<i8" or np.array_equal(matrix, matrix.astype(t)))
         return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()),
                          "dims": pa.array([dims], pa.int32()),
-                         "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()),
-                         "vectors": pa.array([matrix[order].tobytes()], pa.binary())})
+                         "kind": pa.array([kind]), "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()),
+                         "vectors": pa.array([matrix[order].astype(kind).tobytes()], pa.binary())})
 
     block = F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n_blocks)).cast("int")
     return rows.withColumn("block", block).dropDuplicates().groupBy("block").applyInArrow(pack, BLOCK)
@@ -85,6 +91,19 @@ def best_of_pair(q_ids, q, c_ids, c, k: int):
     return tuple(np.array([f[x] for f in found], "i8") for x in range(3))
 
 
+def group_size(n_tiles: int, n_shards: int, tasks: int) -> int:
+    """Tiles and shards of a grid cell: as many as leave a cell for each of ``tasks``."""
+    return max(1, min(GROUP, math.isqrt(n_tiles * n_shards // max(tasks, 1))))
+
+
+def met(tiles: DataFrame, shards: DataFrame, n_tiles: int, n_shards: int, size: int) -> DataFrame:
+    """Every tile with every shard, once, in grid cells of ``size`` tiles and shards."""
+    groups = lambda n: F.explode(F.sequence(F.lit(0), F.lit((n - 1) // size)))
+    across = tiles.withColumn("row", F.floor(F.col("tile") / size).cast("int")).withColumn("column", groups(n_shards))
+    down = shards.withColumn("column", F.floor(F.col("shard") / size).cast("int")).withColumn("row", groups(n_tiles))
+    return across.join(down, ["row", "column"]).drop("row", "column")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest integer inner products of
     each query with the candidates of another id, ties to the smaller vec_id.
@@ -96,16 +115,17 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """
     n_tiles = max(1, -(-queries.count() // TILE_ROWS))
     n_shards = max(1, -(-candidates.count() // SHARD_ROWS))
-    tiles = cut_lineage(packed(queries, n_tiles), "tiles").toDF("tile", "q_dims", "q_ids", "q")
-    shards = cut_lineage(packed(candidates, n_shards), "shards").toDF("shard", "c_dims", "c_ids", "c")
-    pairs = tiles.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).join(shards, "shard")
+    tiles = cut_lineage(packed(queries, n_tiles), "tiles").toDF("tile", "q_dims", "q_kind", "q_ids", "q")
+    shards = cut_lineage(packed(candidates, n_shards), "shards").toDF("shard", "c_dims", "c_kind", "c_ids", "c")
+    tasks = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    pairs = met(tiles, shards, n_tiles, n_shards, group_size(n_tiles, n_shards, tasks))
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 q_ids, c_ids = (np.frombuffer(r[x], "<i8") for x in ("q_ids", "c_ids"))
-                q = np.frombuffer(r["q"], "<i8").reshape(len(q_ids), r["q_dims"])
-                c = np.frombuffer(r["c"], "<i8").reshape(len(c_ids), r["c_dims"])
+                q = np.frombuffer(r["q"], r["q_kind"]).reshape(len(q_ids), r["q_dims"])
+                c = np.frombuffer(r["c"], r["c_kind"]).reshape(len(c_ids), r["c_dims"])
                 rows, minus, ids = best_of_pair(q_ids, q, c_ids, c, k)
                 cuts = np.searchsorted(rows, np.arange(len(q_ids) + 1))
                 tops = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(

@@ -45,3 +45,21 @@ def test_rows_left_out_and_empty_table(spark):
     got = topk.top_k(kept, kept, 3).collect()
     assert sorted(tuple(r) for r in got) == [(1, 1, 6, 0), (6, 1, 1, 0)]
     assert topk.top_k(kept.limit(0), kept.limit(0), 3).count() == 0
+
+
+def test_grid_meets_every_pair_once_with_few_copies(spark):
+    tiles = spark.range(70).selectExpr("cast(id as int) tile")
+    shards = spark.range(90).selectExpr("cast(id as int) shard")
+    for size in (1, 7, 32, 100):
+        pairs = [tuple(r) for r in topk.met(tiles, shards, 70, 90, size).collect()]
+        assert len(pairs) == len(set(pairs)) == 70 * 90
+    assert topk.group_size(49_000, 244_000, 4000) == topk.GROUP
+    assert topk.group_size(2, 5, 24) == 1
+
+
+def test_blocks_take_the_narrowest_integers(spark):
+    rows = [(1, [1, -2]), (2, [3, 40_000]), (3, [5, 2 ** 40])]
+    for row, kind in zip(rows, ("<i2", "<i4", "<i8")):
+        block = topk.packed(spark.createDataFrame([row], "vec_id long, vec array<long>"), 1).first()
+        assert block["kind"] == kind
+        assert np.frombuffer(block["vectors"], kind).tolist() == row[1]
