@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemspark.llm.registry import query, table
+from itemspark.llm.tasks import aside
 from itemspark.session import cut_lineage
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -111,27 +112,44 @@ def _raked_at_once(cells: DataFrame, targets: DataFrame, tolerance: float) -> Da
         before = off
 
 
-def mixed(docs: DataFrame, power: float = POWER, seed: int = 42) -> DataFrame:
+def mixed(docs: DataFrame, power: float = POWER, seed: int = 42, targets: DataFrame | None = None,
+          budget: int | None = None) -> DataFrame:
     """Add topic, tokens, ``weight`` (token share the document's cell shall have),
     ``target_gap`` (see ``raked``), ``probability`` and ``sampled``.
 
+    ``targets`` has dim (source, lang or topic), value and target; without it the targets
+    are the tokens' own shares to ``power``.  With ``budget`` the expected sample has that
+    many tokens instead: ``probability`` is the expected number of copies of a document,
+    above 1 where the mixture asks for more tokens than there are, and ``copies`` is added,
+    that number rounded up or down by the draw.
+
     The probability is the cell's weight over its tokens, relative to the largest such
     ratio, so that the expected sample meets all targets and no document is taken
     twice.  The draw depends on doc_id and ``seed`` alone; rows that repeat a doc_id
     are drawn together.  Null source or lang is a value of its own; null doc_id draws
-    as an empty one.  Columns of the added names are replaced; an empty table stays
-    empty.
+    as an empty one.  Columns of the added names are replaced, others stay, whatever
+    their names; an empty table stays empty.
     """
-    rows = marked(docs.drop("topic", "tokens", "weight", "target_gap", "probability", "sampled"))
+    names = [f"_{d}" for d in DIMENSIONS]
+    return aside(docs, names, lambda rows: _mixed(rows, power, seed, targets, budget))
+
+
+def _mixed(docs: DataFrame, power: float, seed: int, targets: DataFrame | None, budget: int | None) -> DataFrame:
+    rows = marked(docs.drop("topic", "tokens", "weight", "target_gap", "probability", "sampled", *["copies"] * (budget is not None)))
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = cut_lineage(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), "cells")
-    now = raked(cells, tempered_targets(cells, power))
+    now = raked(cells, tempered_targets(cells, power) if targets is None else targets)
     ratio = F.col("weight") / F.col("tokens")
-    top = now.agg(F.max(ratio).alias("top"))
+    top = now.agg((F.max(ratio) if budget is None else F.lit(1.0 / budget)).alias("top"))
     rates = cut_lineage(now.join(F.broadcast(top)).select(*keys, "weight", "target_gap", (ratio / F.col("top")).alias("probability")), "rates")
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)))), 1, 8), 16, 10)
-    return (rows.join(rates, keys).drop(*keys)
-            .withColumn("sampled", draw.cast("double") / F.lit(float(1 << 32)) < F.col("probability")))
+    rows = rows.join(rates, keys).drop(*keys)
+    drawn = draw.cast("double") / F.lit(float(1 << 32))
+    if budget is None:
+        return rows.withColumn("sampled", drawn < F.col("probability"))
+    whole = F.floor("probability").cast("long")
+    copies = whole + (drawn < F.col("probability") - whole).cast("long")
+    return rows.withColumn("copies", copies).withColumn("sampled", F.col("copies") > 0)
 
 
 def _oracle(rounds: int = 20) -> str:

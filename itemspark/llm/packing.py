@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemspark.llm.registry import query, table
-from itemspark.llm.tasks import releasing, values
+from itemspark.llm.tasks import aside, releasing, values
 from itemspark.session import cut_lineage
 
 CAPACITY = 4096
@@ -91,9 +91,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with an integer ``length``.
 
     Lengths must lie between 1 and ``capacity``; rows of null length are left out.
-    Columns of those two names are replaced.  Every sequence is filled without gaps
-    from 0.  An empty table stays empty.
+    Columns of those two names are replaced, others stay, whatever their names.  Every
+    sequence is filled without gaps from 0.  An empty table stays empty.
     """
+    return aside(pieces, ("_n", "_bucket", "_start", "_place", "_rank", "count"), lambda rows: _packed(rows, capacity))
+
+
+def _packed(pieces: DataFrame, capacity: int) -> DataFrame:
     rows = pieces.drop("sequence_id", "offset").where("length IS NOT NULL")
     rows = cut_lineage(rows.withColumn("_n", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().limit(capacity + 1).collect()}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemspark.llm.registry import query, table
+from itemspark.llm.tasks import aside
 from itemspark.session import cut_lineage
 
 #: Rows of one slice, about; a slice is sorted and summed by one task.
@@ -50,8 +51,17 @@ def byte_shards(rows: DataFrame, shards: int, order: list[str], size: str = "siz
     A row belongs to the shard in which its middle byte falls, so a shard misses its
     equal share by at most half a row at each end.  Sizes must be at least 1 and not
     null.  An empty table gives no rows; with fewer rows than shards some shards stay
-    empty; a row larger than a share leaves its neighbours smaller.
+    empty; a row larger than a share leaves its neighbours smaller.  Columns called shard
+    or slot are replaced, others stay, whatever their names.
     """
+    own = ("_n", "_slice", "_run", "_place", "_before", "_index", "_bytes", "_rows", "_bytes0", "_rows0", "_total", "_first")
+    clash = {*order, size} & set(own)
+    if clash:
+        raise ValueError(f"order and size need other names than {sorted(clash)}")
+    return aside(rows.drop("shard", "slot"), own, lambda rows: _cut(rows, shards, order, size))
+
+
+def _cut(rows: DataFrame, shards: int, order: list[str], size: str) -> DataFrame:
     lined = byte_line(rows, order, size)
     total = rows.agg(F.coalesce(F.sum(size), F.lit(1)).alias("_total"))
     middle = F.col("_before") * 2 + F.col(size)

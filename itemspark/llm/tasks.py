@@ -6,9 +6,10 @@ import ctypes
 import gc
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_ROWS = 512            # rows of a batch that are turned into Python objects at once
 
@@ -28,6 +29,16 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def aside(rows: DataFrame, names: Iterable[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on rows whose columns called like its own ``names`` have other names
+    meanwhile and get theirs back in the result."""
+    own = {n.lower() for n in names}
+    moved = {c: unused(f"aside{i}", [*rows.columns, *names]) for i, c in enumerate(rows.columns) if c.lower() in own}
+    if not moved:
+        return work(rows)
+    return work(rows.withColumnsRenamed(moved)).withColumnsRenamed({new: c for c, new in moved.items()})
+
+
 def remembered(key, make: Callable[[], object]):
     """An object that lives as long as the Python worker, for the tasks after this one;
     a new one is made for each ``key``, which must name all that it depends on."""

@@ -54,3 +54,24 @@ def test_nulls_repeats_clashing_columns_and_empty_table(spark):
     assert len(got) == 5 and sorted(r["tokens"] for r in got) == [1, 1, 3, 3, 100_001]
     assert {r["topic"] for r in got} == {"prose", "legal"} and all(0 <= r["probability"] <= 1 for r in got)
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_given_targets_and_budget(spark):
+    """Scarce cells are repeated, plentiful ones thinned, and the tokens come to the budget."""
+    rows = [(i, "w " * (3 + i % 7), "en", "web" if i % 10 else "books") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = spark.createDataFrame([("source", "web", 0.5), ("source", "books", 0.5), ("lang", "en", 1.0), ("topic", "prose", 1.0)],
+                                    "dim string, value string, target double")
+    got = mixing.mixed(docs, targets=targets, budget=12_000).collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r["source"]] += r["copies"] * r["tokens"]
+        assert r["sampled"] == (r["copies"] > 0) and abs(r["copies"] - r["probability"]) < 1
+    assert {r["probability"] > 1 for r in got if r["source"] == "books"} == {True}
+    assert all(abs(n - 6000) < 500 for n in taken.values()) and len(taken) == 2
+
+
+def test_columns_named_like_its_own_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 7, 8, 9)], "doc_id long, text string, lang string, source string, _source int, _Lang int, _topic int")
+    row = mixing.mixed(docs).first()
+    assert (row["_source"], row["_Lang"], row["_topic"], row["source"]) == (7, 8, 9, "s")

@@ -25,13 +25,24 @@ def laid_out(counts, capacity):
     return bins
 
 
+def fewest_for_large(counts, capacity):
+    """Bins that the items above a third need at least: the smallest left joins the
+    largest left if both fit, which matches as many as can be."""
+    left = sorted(s for s, n in counts.items() if 3 * s > capacity for _ in range(n))
+    bins, low, high = 0, 0, len(left) - 1
+    while low <= high:
+        low += low < high and left[low] + left[high] <= capacity
+        high -= 1
+        bins += 1
+    return bins
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
 def test_plans_are_valid_and_near_the_bound(counts):
     bins = laid_out(counts, 30)
     total = sum(s * n for s, n in counts.items())
-    large = sum(n for s, n in counts.items() if 2 * s > 30)
-    assert len(bins) <= 1.25 * max(-(-total // 30), large) + 1
+    assert len(bins) <= 1.25 * max(-(-total // 30), fewest_for_large(counts, 30)) + 1
 
 
 def test_large_items_pair():
@@ -86,3 +97,10 @@ def test_nulls_repeats_whole_sequences_and_empty_table(spark):
     assert packing.pack(pieces.limit(0)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(5000,)], "length long"))
+
+
+def test_columns_named_like_its_own_stay(spark):
+    rows = spark.createDataFrame([(30, 1, 2, 3, 4, 5, 6), (4000, 7, 8, 9, 10, 11, 12)],
+                                 "length long, _n int, _bucket int, _start int, _place int, _RANK int, count int")
+    got = sorted(tuple(r[c] for c in rows.columns) for r in packing.pack(rows).collect())
+    assert got == sorted(tuple(r) for r in rows.collect())

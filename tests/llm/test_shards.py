@@ -36,3 +36,13 @@ def test_nulls_repeats_and_empty_table(spark):
     assert shards.byte_shards(shards.sized_texts(docs.limit(0)), 3, ["doc_id"]).count() == 0
     alone = shards.byte_shards(shards.sized_texts(docs.limit(1)), 24, ["doc_id"]).collect()
     assert len(alone) == 1 and alone[0]["slot"] == 0
+
+
+def test_columns_named_like_its_own_stay(spark):
+    names = ["_n", "_slice", "_run", "_place", "_before", "_index", "_total", "_FIRST", "shard"]
+    rows = spark.createDataFrame([(i, 10, *range(i, i + 9)) for i in range(5)], "id long, size long, " + ", ".join(f"{n} int" for n in names))
+    got = shards.byte_shards(rows, 2, ["id"]).collect()
+    assert sorted((r["id"], *(r[n] for n in names[:-1])) for r in got) == [(i, *range(i, i + 8)) for i in range(5)]
+    assert sorted(r["shard"] for r in got) == [0, 0, 0, 1, 1] or sorted(r["shard"] for r in got) == [0, 0, 1, 1, 1]
+    with pytest.raises(ValueError):
+        shards.byte_shards(rows, 2, ["_n"])
