@@ -253,6 +253,14 @@ def kmeans(spark, folder):
     return cluster.kmeans(items, vectors.dims("f", K), K).select("item", "cluster")
 
 
+def labelled_vectors(spark, folder):
+    """The embeddings as wide rows with their label as ``cluster``, and the column names."""
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    names = vectors.dims("f", table.agg(F.max(F.size("embedding"))).first()[0])
+    return table.select(F.col("label").alias("cluster"), *[
+        F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)]), names
+
+
 @query("j25_silhouettes")
 def silhouettes(spark, folder):
     _, _, (_, items, _) = svd(spark, folder)
@@ -279,15 +287,27 @@ def best_cluster_count(spark, folder):
     SELECT round(AVG((b - a) / GREATEST(a, b)), 6) + 0.0 AS silhouette FROM near""")
 def label_silhouette(spark, folder):
     """Silhouette of the vectors' own labels."""
-    table = spark.read.parquet(f"{folder}/embeddings.parquet")
-    width = table.agg(F.max(F.size("embedding"))).first()[0]
-    names = vectors.dims("f", width)
-    wide = table.select(F.col("label").alias("cluster"), *[
-        F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    wide, names = labelled_vectors(spark, folder)
     return spark.createDataFrame([(cluster.silhouette(wide, names),)], "s double").select(
         fixed(F.col("s")).alias("silhouette"))
 
 
+@query("j25_euclidean_silhouette", extra="""
+    points AS (SELECT vec_id, label AS c, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    sizes AS (SELECT c, COUNT(*) AS m FROM points GROUP BY c),
+    far AS (SELECT p.vec_id, p.c AS own, q.c AS other, SUM(list_distance(p.v, q.v)) AS total
+            FROM points p JOIN points q ON TRUE GROUP BY p.vec_id, p.c, q.c),
+    near AS (SELECT vec_id, MAX(CASE WHEN own = other AND m > 1 THEN total / (m - 1) END) AS a,
+                    MIN(CASE WHEN own <> other THEN total / m END) AS b
+             FROM far JOIN sizes ON c = other GROUP BY vec_id)""", sql="""
+    SELECT round(AVG(CASE WHEN a IS NULL OR GREATEST(a, b) = 0 THEN 0 ELSE (b - a) / GREATEST(a, b) END), 6) + 0.0 AS silhouette
+    FROM near""")
+def euclidean_label_silhouette(spark, folder):
+    """Silhouette of the vectors' own labels, by plain Euclidean distances."""
+    wide, names = labelled_vectors(spark, folder)
+    return cluster.euclidean_silhouette(wide, names).select(fixed(F.col("silhouette")).alias("silhouette"))
+
+
 @query("j26_cluster_agreement", extra="""
     prime AS (SELECT item, ARG_MAX(factor, (ABS(loading), -factor)) AS factor FROM loadings GROUP BY item),
     pairs AS (SELECT e.vec_id AS item, e.label AS cluster, p.factor FROM embeddings e
