@@ -88,7 +88,7 @@ def missing_vectors(spark, folder):
     JOIN codes c ON c.scenario = i.scenario AND c.benchmark = i.benchmark""")
 def code_lookup(spark, folder):
     items = inputs.study(spark, folder).items
-    return items.join(qmatrix.scenario_codes(items), ["scenario", "benchmark"]).select("item", "code")
+    return qmatrix.coded(items, qmatrix.scenario_codes(items)).select("item", "code")
 
 
 @query("e5_semi_join", sql="""

@@ -36,7 +36,7 @@ POOL_SQL = """
         ('PC2', '', 'legalbench', 200), ('PC3', '', 'air_bench_2024', 300), ('PC3', '', 'thai_exam', 300),
         ('PC4', 'pos', 'thai_exam', 50), ('PC4', 'pos', 'mmlu', 50), ('PC4', 'neg', 'air_bench_2024', 50),
         ('PC5', 'pos', 'mmlu', 15), ('PC5', 'pos', 'air_bench_2024', 15), ('PC5', 'neg', 'thai_exam', 15),
-        ('PC7', '', 'mmlu', 5)) v(component, pole, scenario, k)),
+        ('PC6', 'pos', 'med_qa', 40), ('PC6', 'neg', 'legalbench', 40), ('PC7', '', 'mmlu', 5)) v(component, pole, scenario, k)),
     eligible AS (SELECT b.component, b.pole, b.k, p.*, CASE WHEN ROW_NUMBER() OVER (
                     PARTITION BY component, pole, p.scenario ORDER BY missing_count, a DESC, item) <= 10
                     THEN 1 ELSE 0 END AS sure
@@ -48,7 +48,8 @@ BLUEPRINT = [("PC2", "", "legalbench", 200), ("PC3", "", "air_bench_2024", 300),
              ("PC3", "", "thai_exam", 300), ("PC4", "pos", "thai_exam", 50),
              ("PC4", "pos", "mmlu", 50), ("PC4", "neg", "air_bench_2024", 50),
              ("PC5", "pos", "mmlu", 15), ("PC5", "pos", "air_bench_2024", 15),
-             ("PC5", "neg", "thai_exam", 15), ("PC7", "", "mmlu", 5)]
+             ("PC5", "neg", "thai_exam", 15), ("PC6", "pos", "med_qa", 40),
+             ("PC6", "neg", "legalbench", 40), ("PC7", "", "mmlu", 5)]
 
 
 def pool(spark, folder):

@@ -70,36 +70,57 @@ def squared_multiple(matrix: np.ndarray) -> np.ndarray:
     return np.clip(1.0 - 1.0 / np.maximum(np.diag(inverse), 1e-12), 0.005, 0.995)
 
 
-def minres(matrix: np.ndarray, k: int, rounds: int = 500, tolerance: float = 1e-6) -> np.ndarray:
-    """Least-squares factor loadings: alternate eigenvectors and communalities until
-    the communalities stand still (the fixed point minimises the residuals)."""
-    return settled_minres(matrix, k, rounds, tolerance)[0]
+def minres(matrix: np.ndarray, k: int, rounds: int = 5000, tolerance: float = 1e-6) -> np.ndarray:
+    """Least-squares factor loadings: unique variances that minimise the residuals, which
+    then repeat the diagonal.  Raises if they aren't found within ``rounds``."""
+    loadings, settled = settled_minres(matrix, k, rounds, tolerance)
+    if not settled:
+        raise ValueError(f"unique variances for {k} factors did not settle in {rounds} rounds")
+    return loadings
 
 
 def settled_minres(matrix: np.ndarray, k: int, rounds: int = 500, tolerance: float = 1e-6
                    ) -> tuple[np.ndarray, bool]:
-    """``minres`` and whether the communalities came to a stand within ``rounds``."""
-    settled = False
-    h = squared_multiple(matrix)
-    reduced = matrix.copy()
+    """``minres`` and whether no free unique variance has a gradient above ``tolerance``.
+
+    Half the squared eigenvalues that the factors leave out, as a function of the unique
+    variances (between 0.005 and 1), falls by damped Gauss-Newton steps in the free ones.
+    """
+    def parts(unique):
+        values, vectors = np.linalg.eigh(matrix - np.diag(unique))
+        left = np.ones(len(values), bool)
+        left[-k:] = values[-k:] < 0
+        return values, vectors, left, (values[left] ** 2).sum() / 2
+
+    unique, damping, settled = 1.0 - squared_multiple(matrix), 1e-3, False
+    now = parts(unique)
     for _ in range(rounds):
-        np.fill_diagonal(reduced, h)
-        values, vectors = np.linalg.eigh(reduced)
-        order = np.argsort(values)[::-1][:k]
-        loadings = vectors[:, order] * np.sqrt(np.maximum(values[order], 0.0))
-        new = np.clip((loadings ** 2).sum(1), 0.0, 0.995)
-        settled = bool(np.abs(new - h).max() < tolerance)
+        values, vectors, left, loss = now
+        rest = vectors[:, left]
+        slope = -(rest ** 2) @ values[left]
+        free = ~(((unique <= 0.005) & (slope > 0)) | ((unique >= 1.0) & (slope < 0)))
+        settled = bool(np.abs(slope[free]).max(initial=0.0) < tolerance)
         if settled:
             break
-        h = new
+        curve = ((rest @ rest.T) ** 2)[np.ix_(free, free)]
+        tried = unique.copy()
+        tried[free] = np.clip(unique[free] - np.linalg.solve(curve + damping * np.eye(len(curve)), slope[free]), 0.005, 1.0)
+        there = parts(tried)
+        if there[3] <= loss * (1 + 1e-14):
+            unique, now, damping = tried, there, max(damping / 4, 1e-9)
+        else:
+            damping = min(damping * 8, 1e9)
+    values, vectors = now[0][::-1][:k], now[1][:, ::-1][:, :k]
+    loadings = vectors * np.sqrt(np.maximum(values, 0.0))
     lead = loadings[np.abs(loadings).argmax(0), range(loadings.shape[1])]
     return loadings * np.where(lead < 0, -1.0, 1.0), settled
 
 
-def _varimax_rotation(fourth: np.ndarray, second: np.ndarray, n: int, rounds: int = 500,
+def _varimax_rotation(fourth: np.ndarray, second: np.ndarray, n: int, rounds: int = 5000,
                       tolerance: float = 1e-8) -> np.ndarray:
     """Rotation from the moment sums of the (normalised) rows: ``fourth`` is the k^4
-    tensor of sums of l_a l_b l_c l_d, ``second`` the k x k sums of l_a l_b."""
+    tensor of sums of l_a l_b l_c l_d, ``second`` the k x k sums of l_a l_b.  Raises if
+    it doesn't settle within ``rounds``."""
     k = second.shape[0]
     r, last = np.eye(k), 0.0
     for _ in range(rounds):
@@ -108,9 +129,9 @@ def _varimax_rotation(fourth: np.ndarray, second: np.ndarray, n: int, rounds: in
         u, s, v = np.linalg.svd(cubes - (second @ r) * squares / n)
         r = u @ v
         if s.sum() <= last * (1 + tolerance):
-            break
+            return r
         last = s.sum()
-    return r
+    raise ValueError(f"the rotation of {k} factors did not settle in {rounds} rounds")
 
 
 def varimax_matrix(loadings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

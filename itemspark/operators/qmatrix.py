@@ -53,6 +53,19 @@ def scenario_codes(df: DataFrame) -> DataFrame:
             .select("scenario", "benchmark", (F.col("_p") - 1).alias("code")))
 
 
+def coded(items: DataFrame, codes: DataFrame) -> DataFrame:
+    """Add the ``code`` of each item's scenario and benchmark; an item whose pair has
+    no code, or several, is an error.  A null name equals itself."""
+    keys = ["scenario", "benchmark"]
+    found = codes.groupBy(*keys).agg(F.min("code").alias("code"), F.count("code").alias("_codes"))
+    found = found.select("code", "_codes", *[F.col(c).alias(f"_{c}") for c in keys])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    message = F.concat(F.coalesce("_codes", F.lit(0)).cast("string"), F.lit(" codes for "),
+                       F.concat_ws(" / ", F.coalesce("scenario", F.lit("null")), F.coalesce("benchmark", F.lit("null"))))
+    code = F.when(F.col("_codes") == 1, F.col("code")).otherwise(F.raise_error(message).cast("long"))
+    return items.drop("code").join(found, same, "left").select(*items.drop("code").columns, code.cast("long").alias("code"))
+
+
 def scenario_map(items: DataFrame) -> DataFrame:
     """Code of each item's scenario: the first pair of that scenario."""
     first = scenario_codes(items).groupBy("scenario").agg(F.min("code").alias("code"))

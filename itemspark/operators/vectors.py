@@ -123,14 +123,15 @@ def _extended(basis: DataFrame, block: DataFrame, width: int, m: int) -> DataFra
     return joined
 
 
-def _by_iteration(responses, items, takers, k, steps=4, restarts=12, extra=4, tolerance=1e-8,
+def _by_iteration(responses, items, takers, k, steps=4, restarts=40, extra=4, tolerance=1e-8,
                   centred=False):
     """Restarted block Krylov iteration for a matrix that is large on both sides.  A
     step is two joins with two sums; only small matrices reach the driver.
 
     ``centred`` works on item columns minus their means without building them: that
     takes the column means off the taker side, and a taker side without mean
-    gives the same item sums for both matrices.
+    gives the same item sums for both matrices.  Raises if the singular values
+    don't settle within ``restarts``.
     """
     m = k + extra
 
@@ -164,8 +165,7 @@ def _by_iteration(responses, items, takers, k, steps=4, restarts=12, extra=4, to
         basis = cut_lineage(_times(basis, "item", dims("f", width), turn, "f"))
         width = m
     else:
-        left = images(basis, "f", m)
-        _, turn = top_eigen(_inner(left, dims("u", m)), m)
+        raise ValueError(f"{k} singular values did not settle in {restarts} restarts")
     vectors = _times(basis, "item", dims("f", width), turn[:, :k], "f")
     scale = np.where(values > 0, 1.0 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
     return np.sqrt(values), vectors, _times(left, "taker", dims("u", width), turn[:, :k] * scale, "u")

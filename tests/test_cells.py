@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from itemspark.operators import clean, reshape, sample, score
+from itemspark.operators import clean, qmatrix, reshape, sample, score
 
 
 def wide(y):
@@ -138,3 +138,13 @@ def test_stratified_items_reach_the_total(items):
     counts = {r.scenario: r["count"] for r in got.groupBy("scenario").count().collect()}
     assert sum(counts.values()) == 33 and min(counts.values()) >= 6
     assert got.select("item").distinct().count() == 33
+
+
+def test_every_item_has_exactly_one_code(spark):
+    items = spark.createDataFrame([(1, "s", "b"), (2, "s", None), (3, "t", "b")], "item long, scenario string, benchmark string")
+    codes = qmatrix.scenario_codes(items)
+    assert {r["item"]: r["code"] for r in qmatrix.coded(items, codes).collect()} == {1: 0, 2: 1, 3: 2}
+    for wrong, message in ((codes.where("code <> 2"), "0 codes for t / b"), (codes.union(codes.where("code = 1")), "2 codes for s / null")):
+        with pytest.raises(Exception, match=message):
+            qmatrix.coded(items, wrong).collect()
+    assert qmatrix.coded(items.limit(0), codes).count() == 0

@@ -143,3 +143,29 @@ def test_clusters(spark):
     shifted = primary.withColumn("factor", (F.col("factor") + 1) % 3)
     assert cluster.agreement(grouped, shifted).first().agreement == 0.0
     assert cluster.matched_agreement(grouped, shifted).first().agreement == 1.0
+
+
+def test_solvers_raise_when_they_do_not_settle():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 8))
+    r = np.corrcoef(x + x[:, :1], rowvar=False)
+    with pytest.raises(ValueError, match="did not settle"):
+        factors.minres(r, 3, rounds=1)
+    unit = rng.normal(size=(40, 3))
+    fourth = np.einsum("ia,ib,ic,id->abcd", unit, unit, unit, unit)
+    with pytest.raises(ValueError, match="did not settle"):
+        factors._varimax_rotation(fourth, unit.T @ unit, 40, rounds=1)
+
+
+@pytest.mark.parametrize("columns, k", [(6, 3), (6, 1), (20, 4), (60, 12)])
+def test_minres_fits_the_diagonal_where_it_is_free(columns, k):
+    """Also with as many parameters as correlations, where plain alternation creeps."""
+    rng = np.random.default_rng(2)
+    r = np.corrcoef(rng.normal(size=(300, 4)) @ rng.normal(size=(4, columns)) + rng.normal(size=(300, columns)), rowvar=False)
+    loadings = factors.minres(r, k)
+    shared = (loadings ** 2).sum(1)
+    inner = shared < 0.99
+    reduced = r - np.diag(np.clip(1 - shared, 0.005, 1))
+    values, vectors = np.linalg.eigh(reduced)
+    again = vectors[:, ::-1][:, :k] * np.sqrt(np.maximum(values[::-1][:k], 0))
+    assert np.allclose((again ** 2).sum(1)[inner], shared[inner], atol=1e-4)
