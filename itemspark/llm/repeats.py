@@ -90,15 +90,39 @@ class Anchors:
         return chosen, h[chosen]
 
 
-def anchor_rows(raw: DataFrame, match: int = MATCH, gram_bytes: int = GRAM) -> DataFrame:
-    """For ``raw`` (doc, text_bytes binary) one row per anchor: doc, text_key (md5),
-    place, back and ahead (bytes of surroundings before and from the anchor), gram (its
-    hash) and context (hash of the surroundings)."""
+def within(place: np.ndarray, back: np.ndarray, ahead: np.ndarray, gram: np.ndarray, context: np.ndarray,
+           keep_first: bool):
+    """Settle the anchors of one text that have the same surroundings at several places.
+
+    Gives the index of the first place of each (gram, context), the number of its places,
+    and the starts and ends of the runs that the repeated ones (``keep_first``: but the
+    first) cover together.  A text of one line over and over so has as many rows as it
+    has different surroundings.
+    """
+    if len(np.unique(context)) == len(context):
+        none = np.zeros(0, "i8")
+        return np.arange(len(place)), np.ones(len(place), "i8"), none, none
+    _, first, own, n = np.unique(np.stack([gram, context], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    own = own.ravel()
+    repeated = n[own] > 1
+    if keep_first:
+        repeated[first] = False
+    start, end = (place - back)[repeated], (place + ahead)[repeated]       # both ascend with the place
+    new = np.flatnonzero(start[1:] > end[:-1]) + 1
+    return first, n, start[np.append(0, new)[:len(start)]], end[np.append(new, len(end))[:len(end)] - 1]
+
+
+def anchor_rows(raw: DataFrame, match: int = MATCH, gram_bytes: int = GRAM, keep_first: bool = False) -> DataFrame:
+    """For ``raw`` (doc, text_bytes binary) one row per text, anchor and surroundings: doc,
+    text_key (md5), place (the first), back and ahead (bytes of surroundings before and
+    from the anchor), gram (its hash), context (hash of the surroundings) and n (places).
+    Rows without a gram are runs that repeats within the text cover: ``ahead`` bytes from
+    ``place``."""
     def run(batches):
         from xxhash import xxh3_64_intdigest
         finder, reach = Anchors(match, gram_bytes), match - gram_bytes
         for batch in batches:
-            keys, rows, counts, cols = [], [], [], [[], [], [], [], []]
+            keys, rows, counts, cols = [], [], [], [[], [], [], [], [], []]
             for row, data in enumerate(values(batch.column("text_bytes"))):
                 if len(data) < match:
                     continue
@@ -106,19 +130,23 @@ def anchor_rows(raw: DataFrame, match: int = MATCH, gram_bytes: int = GRAM) -> D
                 back, ahead = np.minimum(place, reach), np.minimum(len(data) - place, match)
                 context = np.fromiter((xxh3_64_intdigest(data[p - b:p + a], b) for p, b, a in
                                        zip(place.tolist(), back.tolist(), ahead.tolist())), "u8", len(place))
+                first, n, start, end = within(place, back, ahead, gram, context, keep_first)
+                none = np.zeros(len(start), "i8")
                 keys.append(hashlib.md5(data).digest())
                 rows.append(row)
-                counts.append(len(place))
-                for col, own in zip(cols, (place, back, ahead, gram.view("i8"), context.view("i8"))):
-                    col.append(own)
+                counts.append(len(first) + len(start))
+                for col, own, runs in zip(cols, (place[first], back[first], ahead[first], gram.view("i8")[first], context.view("i8")[first], n),
+                                          (start, none, end - start, none, none, none)):
+                    col += own, runs
             if keys:
                 at = pa.array(np.repeat(np.arange(len(keys)), counts))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.record_batch([batch.column("doc").take(pa.array(np.repeat(rows, counts))), pa.array(keys, pa.binary()).take(at),
-                                       *(pa.array(np.concatenate(c).astype("i8")).cast(k) for c, k in zip(cols, kinds))],
-                                      names=["doc", "text_key", "place", "back", "ahead", "gram", "context"])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                cols = [pa.array(np.concatenate(c).astype("i8")).cast(k) for c, k in zip(cols, kinds)]
+                cols[3] = pc.if_else(pc.greater(cols[5], 0), cols[3], None)
+                yield pa.record_batch([batch.column("doc").take(pa.array(np.repeat(rows, counts))), pa.array(keys, pa.binary()).take(at), *cols],
+                                      names=["doc", "text_key", "place", "back", "ahead", "gram", "context", "n"])
 
-    return raw.mapInArrow(releasing(run), f"doc {doc_type(raw)}, text_key binary, place long, back int, ahead int, gram long, context long")
+    return raw.mapInArrow(releasing(run), f"doc {doc_type(raw)}, text_key binary, place long, back int, ahead int, gram long, context long, n long")
 
 
 def doc_type(raw: DataFrame) -> str:
@@ -191,16 +219,18 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, keep_first: bool = False
     """
     doc = F.col("doc_id") if keep_first else F.lit(None).cast("long")
     raw = docs.select(doc.alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text_bytes"))
-    anchors = cut_lineage(anchor_rows(raw, match, gram_bytes), "anchors")
+    found = cut_lineage(anchor_rows(raw, match, gram_bytes, keep_first), "anchors")
+    inside = found.where("gram is null").select("doc", "text_key", F.col("place").alias("start"), (F.col("place") + F.col("ahead")).alias("end"))
+    anchors = found.where("gram is not null")
     # counts are stored before they are joined: only a join of two plain shuffles can be
     # split by Spark where one gram has very many rows
     often = cut_lineage(anchors.groupBy("gram").count().where("count > 1").select("gram"), "often")
     shared = cut_lineage(anchors.join(often, "gram"), "shared")
 
     contexts = cut_lineage(shared.groupBy("gram", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc", "text_key", "place", "back", "ahead")).alias("at")), "contexts")
+        F.sum("n").alias("n"), F.min(F.struct("doc", "text_key", "place", "back", "ahead")).alias("at")), "contexts")
     again = contexts.where("n > 1").select("gram", "context", F.struct("at.doc", "at.text_key", "at.place").alias("first"))
-    whole = shared.join(again, ["gram", "context"])
+    whole = shared.drop("n").join(again, ["gram", "context"])
     if keep_first:
         whole = whole.where(~F.struct("doc", "text_key", "place").eqNullSafe(F.col("first")))
     whole = whole.select("doc", "text_key", (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"))
@@ -209,13 +239,14 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, keep_first: bool = False
     # segments that are covered as a whole are compared with, but need no marks
     open_ = cut_lineage(contexts.join(several, "gram").select(
         "gram", "context", "contexts", ((F.col("n") == 1) | F.lit(keep_first)).alias("alone"), "at.*"), "open")
-    n_open = open_.count()
-    batches = n_open // CHUNK + 1
+    # an anchor with many surroundings is a batch of its own, so that buckets are even
+    large = F.col("contexts") > CHUNK // 8
+    batches = open_.where(~large).count() // CHUNK + 1
     blocks = F.ceil(F.col("contexts") / CHUNK).cast("int")
     own = F.pmod(F.col("context"), blocks).cast("int")
     dealt = (open_.withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .withColumn("batch", F.when(blocks > 1, F.col("gram")).otherwise(F.pmod(F.col("gram"), F.lit(batches))))
+             .withColumn("batch", F.when(large, F.col("gram")).otherwise(F.pmod(F.col("gram"), F.lit(batches))))
              .withColumn("block", F.when(blocks > 1, F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).otherwise(-1))
              .groupBy("text_key").agg(F.collect_list(F.struct(
                  "batch", "block", "gram", "context", "alone", "doc", "place", "back", "ahead")).alias("wanted")))
@@ -226,7 +257,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, keep_first: bool = False
                                  "text_key binary, place long, back int, segment binary"))
     partly = segments.groupBy("batch", "block").applyInArrow(
         lambda group: matched(group, match, keep_first, gram_bytes), f"doc {kind}, text_key binary, start long, end long")
-    return (whole.unionByName(partly).groupBy("doc", "text_key")
+    return (inside.unionByName(whole).unionByName(partly).groupBy("doc", "text_key")
             .agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 

@@ -100,3 +100,21 @@ def test_repeated_rows_clashing_columns_and_empty_table(spark):
     assert got.columns == ["doc_id", "text", "start", "removed", "kept"]
     assert sorted(len(r["kept"]) for r in got.collect()) == [0, 0, 0, 4]
     assert repeats.without_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_one_row_for_equal_surroundings_within_a_text(spark, keep_first):
+    """A line over and over gives as many rows as surroundings, not as places."""
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    texts = ["start " + line * 600 + " end", line * 300, "own " + "".join(rng.choice("xyz ") for _ in range(3000))]
+    raw = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(texts)], "doc long, text_bytes binary")
+    rows = repeats.anchor_rows(raw, keep_first=keep_first).collect()
+    repeated = [r for r in rows if r["doc"] < 2]
+    assert len(repeated) < 60 < sum(r["n"] for r in repeated)
+    assert [r["n"] for r in rows if r["gram"] is None] == [0, 0] and all(r["n"] == 1 for r in rows if r["doc"] == 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["kept"]) for r in repeats.without_repeats(docs, keep_first=keep_first).collect()}
+    want = plain_first(list(enumerate(texts)), 400) if keep_first else {
+        (i, t): w[3] for i, (t, w) in enumerate(zip(texts, plain(texts, 400)))}
+    assert got == {i: kept for (i, _), kept in want.items()}
