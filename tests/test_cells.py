@@ -148,3 +148,28 @@ def test_every_item_has_exactly_one_code(spark):
         with pytest.raises(Exception, match=message):
             qmatrix.coded(items, wrong).collect()
     assert qmatrix.coded(items.limit(0), codes).count() == 0
+
+
+def joins(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_grid_is_never_broadcast(spark, cells, items, takers, tmp_path):
+    """A grid of takers and labels looks as small as the takers' file, but isn't."""
+    for name, table in (("takers", takers), ("items", items), ("cells", cells[1])):
+        table.write.parquet(f"{tmp_path}/{name}")
+    takers, items, table = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("takers", "items", "cells"))
+    grid = score.level_grid(takers, items).drop("n_items")
+    seen = score.observed_means(table, items, "scenario")
+    plan = joins(grid.join(seen, ["taker", "scenario"], "left").filter("p IS NOT NULL"))
+    assert "SortMergeJoin" in plan
+    assert joins(score.subscores(table, items.withColumnRenamed("benchmark", "component"), takers)).count("SortMergeJoin") == 1
+
+
+def test_many_items_are_not_broadcast(spark, cells, items, monkeypatch):
+    """Items above the row limit are merged however small their file; the rows are the same."""
+    few = score.with_items(cells[1], items, "scenario")
+    monkeypatch.setattr(score, "BROADCAST_ROWS", 10)
+    many = score.with_items(cells[1], items, "scenario")
+    assert "SortMergeJoin" in joins(many) and "Broadcast" not in joins(many)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
