@@ -8,7 +8,7 @@ from itemspark.catalog.registry import query
 from itemspark.functions.scalars import adequacy_band, fixed
 from itemspark.operators import (choose, clean, cluster, factors, moments, sample, score, stats,
                                  vectors)
-from itemspark.session import cut_lineage
+from itemspark.session import above, cut_lineage
 
 K = 8
 
@@ -164,6 +164,8 @@ def taker_gram(spark, folder):
     """Items both takers answered right: the matrix behind the decomposition."""
     s = inputs.study(spark, folder)
     cells = vectors.right_cells(s.responses)
+    if above(s.takers, moments.MAX_COLUMNS):
+        return vectors.joined_gram(cells, s.takers)
     labels, _ = moments.column_labels(s.takers, "taker")
     rows = moments.gram(moments.pack(cells, "item", "taker", "y", labels), len(labels))
     names = F.broadcast(spark.createDataFrame(list(enumerate(labels)), "j int, t bigint"))

@@ -169,3 +169,14 @@ def test_minres_fits_the_diagonal_where_it_is_free(columns, k):
     values, vectors = np.linalg.eigh(reduced)
     again = vectors[:, ::-1][:, :k] * np.sqrt(np.maximum(values[::-1][:k], 0))
     assert np.allclose((again ** 2).sum(1)[inner], shared[inner], atol=1e-4)
+
+
+def test_joined_gram_equals_packed_gram(spark, cells, takers):
+    """Entries for any number of takers; those outside the table don't count."""
+    x = np.nan_to_num(cells[0])
+    want = x @ x.T
+    stranger = cells[1].unionByName(spark.sql("SELECT 7L AS taker, 3L AS item, 1Y AS y"))
+    rows = vectors.joined_gram(vectors.right_cells(stranger), takers).collect()
+    assert {(r.t1 - 100, r.t2 - 100): r.together for r in rows} == {
+        (i, j): int(want[i, j]) for i in range(40) for j in range(40) if want[i, j] > 0}
+    assert len(rows) == (want > 0).sum()
