@@ -86,6 +86,43 @@ def test_fit_indices(spark):
     assert got.BIC == pytest.approx(k * math.log(3) - 2 * ll)
 
 
+def test_correlated_pairs_of_many_takers_match_blocks(spark, monkeypatch):
+    """Joined answers and blocks give the same pairs; with a taker listed twice, joined
+    answers give the pairs of the query's SQL."""
+    monkeypatch.setattr(similar, "TASK_PAIRS", 300)
+    rng = np.random.default_rng(3)
+    n, m = 60, 90
+    x = (rng.random((n, m)) < rng.uniform(0.02, 0.98, m)).astype(int)
+    x[:, 10], x[:, 20] = x[:, 3], 1 - x[:, 4]
+    x[:, 80], x[:, 81] = np.arange(n) < 32, np.arange(n) >= 32
+    taker, item = np.nonzero(x)
+    responses = spark.createDataFrame(pd.DataFrame({"taker": taker, "item": item, "y": 1}), "taker bigint, item bigint, y tinyint")
+
+    def pairs(people, threshold, sparse):
+        return {(r.v1, r.v2): r.r for r in similar.correlated_pairs(responses, people, threshold, 7, 16, sparse).collect()}
+
+    for threshold in (0.3, 0.95):
+        got, want = (pairs(spark.range(n).toDF("taker"), threshold, sparse) for sparse in (True, False))
+        assert set(got) == set(want) and (3, 10) in got and (80, 81) in got
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+    got = pairs(spark.createDataFrame([(i,) for i in [*range(n), 5]], "taker bigint"), 0.3, True)
+    a, total = x.sum(0), n + 1
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = (total * (x.T @ x) - np.outer(a, a)) / np.sqrt(np.outer(a * (total - a), a * (total - a)))
+    want = {(i, j): r[i, j] for i in range(m) for j in range(i + 1, m) if abs(r[i, j]) > 0.3}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_correlated_pairs_choose_joined_answers(spark, monkeypatch):
+    """Sparse answers of more takers than a slice aren't compared item by item."""
+    monkeypatch.setattr(similar, "positions", lambda *a, **k: pytest.fail("blocks of items"))
+    responses = spark.range(2000).selectExpr("id % 500 AS taker", "id div 4 AS item", "1Y AS y").unionByName(
+        spark.range(3).selectExpr("id AS taker", "1000 AS item", "1Y AS y")).unionByName(
+        spark.range(3).selectExpr("id AS taker", "1001 AS item", "1Y AS y"))
+    got = similar.correlated_pairs(responses, spark.range(500).toDF("taker"), 0.95, width=100).collect()
+    assert (1000, 1001) in {(r.v1, r.v2) for r in got}
+
+
 @pytest.mark.parametrize("threshold,width", [(0.95, 4096), (0.6, 4096), (0.3, 4096), (0.6, 16)])
 def test_correlated_pairs_match_brute_force(spark, threshold, width):
     rng = np.random.default_rng(8)
