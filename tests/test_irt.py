@@ -165,6 +165,29 @@ def test_fits_do_not_depend_on_blocks(spark, monkeypatch, factor_cells, block):
     assert model.items.count() == 200 and model.items.exceptAll(begun.items.select(model.items.columns)).count() == 0
 
 
+def test_tiles_grow_with_the_cells_and_sums_are_added_on_the_way(spark, monkeypatch, factor_cells):
+    import pyarrow as pa
+
+    from itemspark.operators import tiles
+    small, large = (tiles.block_size(6 * 10 ** 5 * n, 20_000 * n, 1000 * n, 37) for n in (1, 60))
+    n_tiles = lambda n, size: (20_000 * n // size + 1) * (1000 * n // size + 1)
+    assert n_tiles(60, large) < 60 * n_tiles(1, small)
+    assert tiles.block_size(10 ** 6, 1000, 1000, 37) == tiles.BLOCK
+
+    monkeypatch.setattr(tiles, "HELD_BYTES", 1)
+    shape, x = tiles.Shape(1, 1), np.arange(6.0).tobytes()
+    cells = pa.array([[{"i": 0, "t": 1, "y": 1.0}]] * 3, pa.list_(pa.struct([("i", pa.int32()), ("t", pa.int32()), ("y", pa.float64())])))
+    batch = pa.record_batch([cells, pa.array([np.ones(3).tobytes()] * 3, pa.binary()), pa.array([x] * 3, pa.binary()),
+                             pa.array([4, 5, 4], pa.int32()), pa.array([0, 0, 0], pa.int32())],
+                            names=["cells", "item_payload", "taker_payload", "ib", "tb"])
+    parts = list(tiles.partial_sums(shape, (0,), "item")(iter([batch])))
+    assert len(parts) == 3
+    monkeypatch.setattr(tiles, "HELD_BYTES", 1 << 20)
+    held = list(tiles.partial_sums(shape, (0,), "item")(iter([batch])))
+    added = list(tiles.added_sums(iter(parts)))
+    assert [r.to_pylist() for r in held] == [r.to_pylist() for r in added] and len(added) == 2
+
+
 def test_steps_do_not_shuffle_cells(spark, factor_cells):
     from itemspark.operators import tiles
     _, table, _, takers, items = factor_cells
