@@ -209,3 +209,44 @@ def test_steps_do_not_shuffle_cells(spark, factor_cells):
             level = depth(line)
     assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
     assert "SelectedBucketsCount" in plan
+
+
+def test_cells_are_summed_by_mask_and_parameters_sent_without_masked_ones():
+    from itemspark.operators import tiles
+    rng = np.random.default_rng(5)
+    k, n, m = 4, 30, 9
+    q = np.zeros((k, n))
+    q[np.arange(n) % 3, np.arange(n)] = 1.0                      # the fourth is never used
+    q[0] = 1.0
+    q[:, 7] = 0.0
+    state = np.concatenate([q, q * rng.uniform(0.5, 2, (k, n)), rng.normal(size=(1, n))])[None]
+    takers = rng.normal(size=(1, k, m))
+    shape = tiles.Shape(1, k)
+    assert np.array_equal(shape.received(shape.sent(state.tobytes())), state)
+    assert len(shape.sent(state.tobytes())) < state.nbytes / 2
+    with pytest.raises(ValueError):
+        shape.sent((state * 0.5).tobytes())
+    i, t = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(m), indexing="ij"))
+    y = (rng.random(len(i)) < 0.5).astype(float)
+    a, d = state[0, k:2 * k], state[0, 2 * k]
+    z = (a[:, i] * takers[0][:, t]).sum(axis=0) - d[i]
+    p = tiles.answer_probability(z)
+    import pyarrow as pa
+    packed = y.tobytes() + i.astype("i4").tobytes() + t.astype("i4").tobytes()
+    batch = pa.record_batch([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int32()) for x in
+                             (packed, shape.sent(state.tobytes()), takers.tobytes(), 0, 0)],
+                            names=["cells", "item_payload", "taker_payload", "ib", "tb"])
+    for side, weights, place, size in (("item", np.vstack([takers[0][:3, t] * q[:3, i], -np.ones((1, len(i)))]), i, n), ("taker", a[:3, i], t, m)):
+        row = next(iter(tiles.partial_sums(shape, (0,), side, True)(iter([batch]))))
+        want = np.concatenate([np.bincount(place, minlength=size), tiles.sums_of(weights, place, size, y, p).ravel()])
+        assert np.allclose(np.frombuffer(row.column("payload")[0].as_py()), want)
+        assert np.isclose(row.column("ll")[0].as_py()[0], -np.logaddexp(0, np.where(y > 0, -z, z)).sum())
+
+
+def test_tiles_of_many_cells_are_larger():
+    from itemspark.operators import tiles
+    n_items, n_takers, cells = 1_200_000, 60_000, 33_000_000
+    size = tiles.block_size(cells, n_items, n_takers, 46)
+    assert (n_items / size) * (n_takers / size) < 150
+    far = tiles.block_size(6 * cells, 6 * n_items, 6 * n_takers, 46)
+    assert tiles.block_size(10 ** 6, 20_000, 1000, 46) <= size <= far <= tiles.SUM_BYTES // (8 * 46)
