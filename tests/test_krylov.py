@@ -77,3 +77,30 @@ def test_more_columns_for_more_takers(spark):
     x[taker, item] = 1
     assert np.allclose(values, np.linalg.svd(x, compute_uv=False)[:2] ** 2)
     assert set(seen) == {12}
+
+
+def test_files_of_past_steps_are_removed(spark, monkeypatch):
+    import os
+    import re
+
+    from itemspark import session
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffles():
+        return {m[1] for top in folders for _, _, names in os.walk(top) for x in names if (m := re.match(r"shuffle_(\d+)_", x))}
+
+    rng = np.random.default_rng(8)
+    taker, item = np.nonzero(rng.random((150, 160)) < 0.3)
+    right = spark.createDataFrame(list(zip(taker.tolist(), item.tolist())), "taker bigint, item bigint")
+    monkeypatch.setattr(krylov, "BLOCK", 30)
+    monkeypatch.setattr(krylov, "STORED", 4)
+    monkeypatch.setattr(krylov, "staging_path", lambda s, name: paths.append(session.staging_path(s, name)) or paths[-1])
+    plain, held, paths = krylov.next_state, [], []
+    monkeypatch.setattr(krylov, "next_state", lambda *a: held.append(shuffles()) or plain(*a))
+    values, _ = krylov.leading(right, spark.range(150).toDF("taker"), 3, extra=1, most_columns=1)
+    x = np.zeros((150, 160))
+    x[taker, item] = 1
+    assert np.allclose(values, np.linalg.svd(x, compute_uv=False)[:3] ** 2)
+    assert len(held) > 12 and len(paths) > 2
+    assert len(held[-1] - held[1]) < 10                     # of two a step, and more for inner products
+    assert not any(os.path.exists(p) for p in paths)
