@@ -250,3 +250,58 @@ def test_tiles_of_many_cells_are_larger():
     assert (n_items / size) * (n_takers / size) < 150
     far = tiles.block_size(6 * cells, 6 * n_items, 6 * n_takers, 46)
     assert tiles.block_size(10 ** 6, 20_000, 1000, 46) <= size <= far <= tiles.SUM_BYTES // (8 * 46)
+
+
+def test_a_round_is_one_job(spark, monkeypatch, factor_cells):
+    from itemspark.operators import tiles
+    _, table, qmatrix, takers, _ = factor_cells
+    begun = irt.start(table, takers, irt.qmatrix_masks(qmatrix, ["s0", "s1", "s2", "s3"]), 4, 0.0)
+    plain, jobs = tiles.progress, []
+    tracker = spark.sparkContext.statusTracker()
+
+    def counted(*args):
+        told = plain(*args)
+        jobs.append(len(tracker.getJobIdsForGroup("fit")))
+        return told
+    monkeypatch.setattr(tiles, "progress", counted)
+    spark.sparkContext.setJobGroup("fit", "rounds")
+    try:
+        irt.solve(table, begun)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) > 4 and set(np.diff(jobs[:8])) == {1}
+
+
+def test_blocks_without_a_dimension_and_several_flushes(spark, monkeypatch, factor_cells):
+    """Sums of a block keep their places when its items use fewer dimensions than others."""
+    from itemspark.operators import tiles
+    _, table, qmatrix, takers, _ = factor_cells
+    table = table.where("item < 12")
+    masks = irt.qmatrix_masks(qmatrix.where("item < 12"), ["s0", "s1", "s2", "s3"])
+    begun = irt.start(table, takers, masks, 4, 0.0)
+    found = []
+    for block, held in ((1024, 1 << 26), (1, 1)):
+        monkeypatch.setattr(tiles, "BLOCK", block)
+        monkeypatch.setattr(tiles, "block_size", lambda *a, size=4 if block == 1 else 1024: size)
+        monkeypatch.setattr(tiles, "HELD_BYTES", held)
+        found.append(irt.solve(table, begun).items.orderBy("item").toPandas())
+    assert np.allclose(found[0], found[1])
+
+
+def test_sums_of_cells_in_any_order():
+    from itemspark.operators import tiles
+    rng = np.random.default_rng(9)
+    for k in (2, 5):                                             # narrow and wide
+        n, m = 40, 25
+        items = np.concatenate([np.ones((k, n)), rng.uniform(0.5, 2, (k, n)), rng.normal(size=(1, n))])[None]
+        takers = rng.normal(size=(1, k, m))
+        i, t = np.sort(rng.integers(0, n, 500)), rng.integers(0, m, 500)
+        y = (rng.random(500) < 0.5).astype("u1")
+        a, d = items[0, k:2 * k], items[0, 2 * k]
+        z = (a[:, i] * takers[0][:, t]).sum(axis=0) - d[i]
+        p = tiles.answer_probability(z)
+        for side, place, size, w in (("item", i, n, np.vstack([takers[0][:, t], -np.ones((1, 500))])), ("taker", t, m, a[:, i])):
+            want = np.concatenate([np.bincount(place, minlength=size), tiles.sums_of(w, place, size, y, p).ravel()])
+            for order in (None, np.argsort(t, kind="stable")):
+                got, ll = tiles.tile_sums(k, (0,), side, items, takers, i, t, y, order, {0: list(range(k))})
+                assert np.allclose(got, want) and np.isclose(ll[0], -np.logaddexp(0, np.where(y > 0, -z, z)).sum())

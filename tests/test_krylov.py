@@ -84,6 +84,7 @@ def test_files_of_past_steps_are_removed(spark, monkeypatch):
     import re
 
     from itemspark import session
+    from itemspark.operators import parts
     folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
 
     def shuffles():
@@ -94,7 +95,7 @@ def test_files_of_past_steps_are_removed(spark, monkeypatch):
     right = spark.createDataFrame(list(zip(taker.tolist(), item.tolist())), "taker bigint, item bigint")
     monkeypatch.setattr(krylov, "BLOCK", 30)
     monkeypatch.setattr(krylov, "STORED", 4)
-    monkeypatch.setattr(krylov, "staging_path", lambda s, name: paths.append(session.staging_path(s, name)) or paths[-1])
+    monkeypatch.setattr(parts, "staging_path", lambda s, name: paths.append(session.staging_path(s, name)) or paths[-1])
     plain, held, paths = krylov.next_state, [], []
     monkeypatch.setattr(krylov, "next_state", lambda *a: held.append(shuffles()) or plain(*a))
     values, _ = krylov.leading(right, spark.range(150).toDF("taker"), 3, extra=1, most_columns=1)
